@@ -158,7 +158,9 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
     n_docs = int(counted.loc[counted.feature == -1, "n"].sum())
     counted = counted[counted.feature >= 0]
     df[counted.feature.to_numpy()] = counted.n.to_numpy()
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text", "lang").repartition(8)
+    # at most `sample` ids; ids are drawn first, so that no text moves but those of the sample
+    ids = F.broadcast(known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    drawn = known.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("text", "lang")
     rows = drawn.mapInArrow(_vectors, "lang string, ids binary, tf binary").toPandas().sort_values(["lang", "ids", "tf"])
     classes = sorted(rows.lang.unique())
     if not classes:
