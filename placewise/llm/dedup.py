@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
     texts = docs.where("doc_id IS NOT NULL").mapInArrow(_packed, "rep long, z binary")
-    tasks = dealt.join(texts, "rep").select("hub", "i", "j", "side", "rep", "z").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rep")
+    # both sides grow with the corpus: sorted and merged at every size
+    tasks = dealt.hint("merge").join(texts, "rep").select("hub", "i", "j", "side", "rep", "z").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rep")
     found = components(tasks.mapInArrow(_verified, "a long, b long"))
     named = sketches.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     named = named.join(found.withColumnRenamed("node", "rep"), "rep", "left")
