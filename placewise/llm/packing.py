@@ -73,9 +73,19 @@ class WordIds:
         return [b"".join(map(self.kept.__getitem__, words)) for words in split]
 
 
+_WORKERS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One for each process: a worker's tasks share what it has encoded."""
+    if path not in _WORKERS:
+        _WORKERS[path] = WordIds(path)
+    return _WORKERS[path]
+
+
 def _pieces(path: str, capacity: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = WordIds(path), np.array([END_ID], "<u4").tobytes()
+        ids_of, end = word_ids(path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
