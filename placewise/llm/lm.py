@@ -215,19 +215,21 @@ def fit(pairs: np.ndarray, types: np.ndarray, n_top: int) -> Model:
     """pairs: counts of neighbouring symbols; types: words of each symbol (0 for the unknown one)."""
     cls = exchange(pairs, n_top)
     total = int(cls.max()) + 1
+    if not pairs.any():  # nothing was learnt: all tokens are the one unknown word
+        return Model(cls, np.zeros((total, total)), np.zeros(len(cls)))
     tokens_of, types_of = np.bincount(cls, pairs.sum(0), total), np.bincount(cls, types, total)
     q = np.zeros((total, total))
     np.add.at(q, (cls[:, None].repeat(len(cls), 1), cls[None, :].repeat(len(cls), 0)), pairs)
     share = tokens_of + types_of
     unknown, once = cls[UNKNOWN], cls[TOP]
-    share[unknown] = 0 if share.sum() else 1
+    share[unknown] = 0
     share = share / share.sum()
     step = (q + SMOOTHING * share[None, :]) / (q.sum(1, keepdims=True) + SMOOTHING)
     n1, n2 = types[TOP], types[TOP + 1]
     if n1:
         part = (n1 + 1) / (n1 + 2 * n2 + 2)
         step[:, unknown], step[:, once] = step[:, once] * part, step[:, once] * (1 - part)
-    elif tokens_of.sum():  # no word was seen once: one token's worth for the unknown
+    else:  # no word was seen once: one token's worth for the unknown
         part = 1 / (tokens_of.sum() + 1)
         step *= 1 - part
         step[:, unknown] += part

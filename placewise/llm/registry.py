@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.OP4_SQL}
+    return {"op4_url_filter": url_filter.OP4_SQL, "op8_near_dedup": dedup.OP8_SQL}
