@@ -28,7 +28,7 @@ CAPACITY, END_ID = 4096, 1
 #: Rows of one length that a salted part has, about.
 PART = 20_000
 #: Words whose ids a worker keeps (about 250 bytes each), and new ones that are encoded in one call.
-WORDS_KEPT, WORDS_AT_ONCE = 1_200_000, 64
+WORDS_KEPT, WORDS_AT_ONCE = 1_000_000, 64
 
 
 def tokenizer_path() -> str:
@@ -62,11 +62,11 @@ class WordIds:
             for w, a, b in zip(ws, [-1, *cut], [*cut, len(ids)], strict=True):
                 self.kept[w] = raw[4 * a + 4 : 4 * b]
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
+    def __call__(self, texts: list[bytes], words_kept: int = WORDS_KEPT) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [t.split() for t in texts]
         new = list(set().union(*split).difference(self.kept))
-        if len(self.kept) + len(new) > WORDS_KEPT:
+        if len(self.kept) + len(new) > words_kept:
             self.kept.clear()
             new = list(set().union(*split))
         self._encode(new)
@@ -83,14 +83,14 @@ def word_ids(path: str) -> WordIds:
     return _WORKERS[path]
 
 
-def _pieces(path: str, capacity: int):
+def _pieces(path: str, capacity: int, words_kept: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = word_ids(path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
                 doc, out = [], []
-                for k, ids in enumerate(ids_of([(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()])):
+                for k, ids in enumerate(ids_of([(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()], words_kept)):
                     ids += end
                     for p, a in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[a : a + 4 * capacity]
@@ -191,7 +191,7 @@ class Places:
         return bins, offsets
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, words_kept: int = WORDS_KEPT) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty: one piece that holds the end id alone. Rows that repeat a doc_id are packed each on its
@@ -199,7 +199,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """
     spark = docs.sparkSession
     kind = docs.select("doc_id").schema.simpleString()[7:-1]
-    pieces = save(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity), f"{kind}, piece int, start long, length long, ids_crc32 long"))
+    pieces = save(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, words_kept), f"{kind}, piece int, start long, length long, ids_crc32 long"))
     rows = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     count = np.zeros(capacity + 1, np.int64)
     for r in rows:
