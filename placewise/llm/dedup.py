@@ -8,15 +8,16 @@
    the defaults that is 23 of 60 values; pairs beyond it are found as well where one chunk agrees: a pair of
    similarity 0.75 goes unnoticed with a probability of 6e-6.)
 3. The least representative of a key's holders is their hub. A representative joins the group of each of its
-   hubs, so that every pair sharing a key meets in a group, without a row per pair. A group of more than BLOCK
-   members is dealt into blocks, and every two blocks meet in a task of their own, of bounded size.
+   hubs, so that every pair sharing a key meets in a group, without a row per pair. In a group of more than BLOCK
+   members those linked with the hub are found first, in blocks; only the rest then meet them and one another,
+   every two blocks in a task of their own, of bounded size.
 4. There, intersections of full shingle sets are counted exactly by postings, and linked texts merged; only a
    spanning star of each merged set leaves the task. Components over all stars give the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -150,6 +151,36 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
+def _edges(member: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges that join up all linked texts of each hub's group. member: hub, rep; verify: edges of tasks (hub, i, j, side, rep).
+
+    A group of at most BLOCK members is one task. In a larger one the members are first held against the hub, in
+    blocks that each get the hub's text; those linked with it are of one component and need not meet each other. The
+    rest are dealt into blocks that meet one another and the blocks of the linked ones.
+    """
+    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(n / BLOCK), F.lit(1))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int") - 1)
+    columns = ["rep", "hub", "i", "j", "side"]
+    sized = member.join(member.groupBy("hub").agg(F.count("*").alias("n")), "hub")
+    small = sized.where(F.col("n") <= BLOCK).select("rep", "hub", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    large = save(sized.where(F.col("n") > BLOCK))
+    spokes = large.where("rep != hub").select("rep", "hub", F.lit(-1).alias("i"), dealt(F.col("n")).alias("j"), F.lit(1).alias("side"))
+    hubs = large.where("rep = hub").select("rep", "hub", F.lit(-1).alias("i"), F.explode(upto(F.col("n"))).alias("j"), F.lit(0).alias("side"))
+    star = save(verify(spokes.unionByName(hubs)))
+    near = star.select(F.col("a").alias("rep"), F.col("b").alias("hub"), F.lit(True).alias("linked")).distinct()
+    # the hub itself counts as linked
+    split = large.join(near, ["hub", "rep"], "left").withColumn("linked", F.coalesce("linked", F.col("rep") == F.col("hub")))
+    counts = split.groupBy("hub").agg(F.count_if("linked").alias("in"), F.count_if(~F.col("linked")).alias("out")).where(F.col("out") > 0)
+    split = split.select("hub", "rep", "linked").join(counts, "hub")
+    shift = F.ceil(F.col("out") / BLOCK).cast("int")
+    rest = split.where(~F.col("linked")).withColumn("own", dealt(F.col("out")))
+    apart = rest.withColumn("other", F.explode(upto(F.col("out")))).select("rep", "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
+    across = rest.select("rep", "hub", F.col("own").alias("i"), F.explode(F.transform(upto(F.col("in")), lambda x: x + shift)).alias("j"), F.lit(-1).alias("side"))
+    inner = split.where("linked").withColumn("j", dealt(F.col("in")) + shift).select("rep", "hub", F.explode(upto(F.col("out"))).alias("i"), "j", F.lit(-2).alias("side"))
+    tasks = small.select(columns).unionByName(apart.select(columns)).unionByName(across.select(columns)).unionByName(inner.select(columns))
+    return verify(tasks).unionByName(star)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept (it is the document's own).
 
@@ -164,14 +195,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = classes.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
     shared = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
     member = save(keys.join(shared, "key").select("hub", "rep").distinct())
-    blocks = member.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = member.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("rep", "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
+    # texts of the members only; both sides grow with the corpus, so they are sorted and merged at every size
     texts = docs.where("doc_id IS NOT NULL").mapInArrow(_packed, "rep long, z binary")
-    # both sides grow with the corpus: sorted and merged at every size
-    tasks = dealt.hint("merge").join(texts, "rep").select("hub", "i", "j", "side", "rep", "z").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rep")
-    found = components(tasks.mapInArrow(_verified, "a long, b long"))
+    texts = save(texts.hint("merge").join(member.select("rep").distinct(), "rep"))
+
+    def verify(tasks: DataFrame) -> DataFrame:
+        held = tasks.hint("merge").join(texts, "rep").select("hub", "i", "j", "side", "rep", "z")
+        return held.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rep").mapInArrow(_verified, "a long, b long")
+
+    found = components(_edges(member, verify))
     named = sketches.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     named = named.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id"))

@@ -23,7 +23,7 @@ ORDERS = (1, 2, 3)
 #: Hashed features of each order.
 BUCKETS = 1 << 15
 #: Most labelled rows that the weights are trained on (their document frequencies come from all training rows).
-SAMPLE = 4000
+SAMPLE = 3000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
 _MULTIPLY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)

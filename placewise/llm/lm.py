@@ -36,9 +36,8 @@ END, UNKNOWN, SYMBOLS = TOP + BANDS, TOP + BANDS + 1, TOP + BANDS + 2
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each step of rows i to j: hashes of their words end to end, and the number of words of each row."""
-    data = lower_ascii(data)
     for i, j in steps(bounds):
-        part, own = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        part, own = lower_ascii(data[bounds[i] : bounds[j]]), bounds[i : j + 1] - bounds[i]
         starts, ends, n = word_bounds(part, own)
         yield i, j, word_hashes(part, starts, ends).view(np.int64), n
 

@@ -15,9 +15,8 @@ _FACTORS = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB866
 def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its shingles: of all runs of five words, or of its whole
     sequence if it has fewer; none for a row without words. A-Z are lower-cased."""
-    data = lower_ascii(data)
     for i, j in steps(bounds):
-        part, own = data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        part, own = lower_ascii(data[bounds[i] : bounds[j]]), bounds[i : j + 1] - bounds[i]
         starts, ends, counts = word_bounds(part, own)
         words = word_hashes(part, starts, ends)
         n = max(0, len(words) - WORDS + 1)
