@@ -17,6 +17,9 @@ LANGUAGE_FROM = 0.5
 #: Documents go that are less likely than this to be of quality 1.
 QUALITY_FROM = 0.35
 
+#: Words whose ids a packing worker keeps: workers hold them beside what the other stages need.
+WORDS_KEPT = 400_000
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs, fold("doc_id", 5) != 0)
@@ -43,7 +46,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.select("doc_id", "text"), packing.tokenizer_path())
+    return packing.pack(docs.select("doc_id", "text"), packing.tokenizer_path(), words_kept=WORDS_KEPT)
 
 
 STAGES = [
