@@ -41,6 +41,9 @@ CLOSES_P = BLOCKS - {"html", "body", "head", "caption", "option", "tbody", "tfoo
 CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "option": {"select"}}
 APART_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus reply replies related share sharing social newsletter subscribe subscription signup login popup modal overlay widget widgets pagination pager toolbar copyright contentinfo complementary search".split())
 OUTSIDE_WORDS = set("header masthead topbar".split())
+# words that hold for all that is inside, an article too; and words that say how a page is laid out, not what an element is
+FIRM_WORDS = set("ad ads advert adverts advertisement sponsor sponsored promo comment comments disqus reply replies related".split())
+LAYOUT_WORDS = set("with without has have no".split())
 
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>)", re.S)
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -48,12 +51,16 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Page:
-    """Elements (token, parent, apart) in page order, and blocks of text (element, text) outside of parts set apart."""
+    """Elements (token, parent, apart) in page order, and blocks of text (element, text) outside of parts set apart.
+
+    apart: 0 for what may be main text, 1 where words of a class, id or role speak against it (an article or main
+    element inside may be main text all the same), 2 where the element or a firm word does.
+    """
 
     __slots__ = ("blocks", "elements", "main")
 
     def __init__(self, source: str):
-        self.elements: list[tuple[str, int, bool]] = [("", -1, False)]
+        self.elements: list[tuple[str, int, int]] = [("", -1, 0)]
         self.blocks: list[tuple[int, str]] = []
         self.main: set[int] = set()
         open_: list[tuple[str, int]] = [("", 0)]
@@ -118,7 +125,13 @@ class Page:
             marks = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _MARKS.finditer(tag[4])} if tag[4] else {}
             words = {w.lower() for v in marks.values() for w in _WORD.findall(v)}
             inside = any(n in ("article", "main") for n, _ in open_)
-            apart = apart or name in SET_APART or (name != "body" and bool(words & APART_WORDS)) or (not inside and (name == "header" or (name != "body" and bool(words & OUTSIDE_WORDS))))
+            outer = name == "header" or bool(words & OUTSIDE_WORDS)
+            said = name not in ("html", "body") and not words & LAYOUT_WORDS
+            if name in SET_APART or (said and words & FIRM_WORDS) or (name == "header" and not inside):
+                own = 2
+            else:
+                own = int(said and bool(words & APART_WORDS or (outer and not inside)))
+            apart = 0 if name in ("article", "main") and not own and apart == 1 else max(apart, own)
             number = len(self.elements)
             self.elements.append((f"{above}>{name}{'.' + '.'.join(sorted(words)) if words else ''}", parent, apart))
             if not apart and (name in ("article", "main") or "main" in marks.get("role", "")):

@@ -93,6 +93,14 @@ def test_main_text(main):
             assert f"Second {n}" in got and "cookies" not in got and "Nice" not in got and "Side" not in got and "Buy" not in got
 
 
+def test_layout_words_and_lone_pages():
+    inside = "<article><header><h1>T</h1></header><p>Body text.</p></article>"
+    for outer in ('<html class="nav-open"><body>{}</body>', '<body><div class="page with-sidebar">{}</div><div class="sidebar">s</div>', '<div id="widget-area">{}</div>', '<div role="main">{}</div><div class="topbar">x</div>'):
+        assert html.extract([outer.format(inside)]) == ["T\n\nBody text."], outer
+    assert html.extract([f"{inside}<div class='comments'><article><p>Nice!</p></article></div>"]) == ["T\n\nBody text."]
+    assert html.extract(["<div class=content><p>One</p><div class=share>x</div></div><div class=menu>y</div>"]) == ["One"]
+
+
 def test_main_text_odd_pages(spark):
     rows = [(1, "http://a/x", None), (2, None, ""), (3, "http://a/y", "plain text only"), (4, "http://a/y", "<p>cut off <b"), (5, "http://b/", "<article><p>x</p>" + "<p>long words here</p>" * 20_000), (5, "http://b/", "<article><p>twice"), (6, "http://c", "<div " + "a" * 100_000), (None, "http://c", "<article>&#x41;&lt;b&gt; &bogus; &#0;</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("salt", F.lit(1))
