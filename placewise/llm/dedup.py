@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm.common import mix, save, table, utf8
+from placewise.llm.common import compressed, mix, save, table, utf8
 from placewise.llm.graph import components
 from placewise.llm.shingles import permutations, shingle_sets, signature
 
@@ -73,9 +73,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, so that moving them costs less."""
-    to = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()], pa.binary())], ["rep", "z"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), compressed(batch.column(1))], ["rep", "z"])
 
 
 def linked_stars(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], crossing: bool) -> list[tuple[int, int]]:

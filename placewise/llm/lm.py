@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placewise.llm.common import fold, lower_ascii, save, steps, table, utf8, word_bounds, word_hashes
+from placewise.llm.common import compressed, fold, lower_ascii, save, steps, table, utf8, word_bounds, word_hashes
 
 TOP, CLASSES, SWEEPS = 1024, 48, 4
 #: Bands of counts: 1, 2, 3-4, ... up to 2**(BANDS - 1) and more.
@@ -44,10 +44,8 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns: keys, then the text; texts are compressed one by one."""
-    to = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        z = pa.array([to.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(3).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], z], ["doc_id", "grp", "learn", "z"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], compressed(batch.column(3))], ["doc_id", "grp", "learn", "z"])
 
 
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
