@@ -11,6 +11,7 @@ are counted in salted parts.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right
@@ -29,6 +30,8 @@ CAPACITY, END_ID = 4096, 1
 PART = 20_000
 #: Words whose ids a worker keeps (about 250 bytes each), and new ones that are encoded in one call.
 WORDS_KEPT, WORDS_AT_ONCE = 1_000_000, 64
+#: Lower-case Latin letters, all composed, and perhaps one mark.
+_LETTERS = re.compile(r"[a-zß-öø-ſ]+[,.]?")
 
 
 def tokenizer_path() -> str:
@@ -37,40 +40,86 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Kept(dict):
+    """Ids by word, in two generations: words of the one before come back when they are asked for. A word in neither gets
+    an empty place at once and is noted as new, so that a text is looked up in one pass."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.before: dict[bytes, bytes] = {}
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> bytes | bytearray:
+        place = self.before.get(word)
+        if place is None:
+            place = bytearray()
+            self.new.append(word)
+        self[word] = place
+        return place
+
+    def age(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
+    def fill(self, word: bytes, raw: bytes) -> None:
+        self[word][:] = raw
+        self[word] = raw
+
+
 class WordIds:
-    """Ids of whole texts, word by word: this tokenizer drops white space, so a text's ids are those of its words in turn."""
+    """Ids of whole texts, word by word: this tokenizer drops white space, so a text's ids are those of its words in turn.
+
+    It also lower-cases, and takes a run of letters as one and a comma or full stop after it as another. Words of that
+    shape skip its normalizer and its pattern: `plain` is its model behind a split at spaces.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.of, self.kept = Tokenizer.from_file(path), {}
+        self.of, self.kept = Tokenizer.from_file(path), _Kept()
+        self.plain = Tokenizer(self.of.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.bar = self.of.encode("|", add_special_tokens=False).ids[0]
 
-    def _encode(self, words: list[bytes]) -> None:
-        """Keep the ids of new words. Many share a call, with bars between them; words with bars of their own go alone."""
-        plain = [w for w in words if b"|" not in w]
-        several = [plain[i : i + WORDS_AT_ONCE] for i in range(0, len(plain), WORDS_AT_ONCE)] + [[w] for w in words if b"|" in w]
-        texts = [b" | ".join(ws).decode("utf-8", "surrogatepass") for ws in several]
-        for ws, e in zip(several, self.of.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+    def _encode(self) -> None:
+        """Fill the places of new words. Many share a call, with bars between them; words with bars of their own go alone."""
+        plain, spaced, other, alone = [], [], [], []
+        for w in self.kept.new:
+            text = w.decode("utf-8", "surrogatepass")
+            if b"|" in w:
+                alone.append(w)
+            elif _LETTERS.fullmatch(low := text.lower()):
+                plain.append(w)
+                spaced.append(low if low[-1] not in ",." else f"{low[:-1]} {low[-1]}")
+            else:
+                other.append(w)
+        self._fill(self.plain, plain, spaced, WORDS_AT_ONCE)
+        self._fill(self.of, other, [w.decode("utf-8", "surrogatepass") for w in other], WORDS_AT_ONCE)
+        self._fill(self.of, alone, [w.decode("utf-8", "surrogatepass") for w in alone], 1)
+        self.kept.new = []
+
+    def _fill(self, of, words: list[bytes], texts: list[str], n: int) -> None:
+        starts = range(0, len(words), n)
+        for i, e in zip(starts, of.encode_batch_fast([" | ".join(texts[i : i + n]) for i in starts], add_special_tokens=False), strict=True):
             ids = e.ids
             raw = array("I", ids).tobytes()
-            if len(ws) == 1:
-                self.kept[ws[0]] = raw
-                continue
-            cut = [i for i, x in enumerate(ids) if x == self.bar]
-            for w, a, b in zip(ws, [-1, *cut], [*cut, len(ids)], strict=True):
-                self.kept[w] = raw[4 * a + 4 : 4 * b]
+            cut = [k for k, x in enumerate(ids) if x == self.bar] if n > 1 else []
+            for w, a, b in zip(words[i : i + n], [-1, *cut], [*cut, len(ids)], strict=True):
+                self.kept.fill(w, raw[4 * a + 4 : 4 * b])
 
     def __call__(self, texts: list[bytes], words_kept: int = WORDS_KEPT) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        new = list(set().union(*split).difference(self.kept))
-        if len(self.kept) + len(new) > words_kept:
+        """Little-endian unsigned 32-bit ids of each text. At most words_kept words stay, and those of the last call."""
+        if len(self.kept) > words_kept // 2:
+            self.kept.age()
+        found = [list(map(self.kept.__getitem__, t.split())) for t in texts]
+        try:
+            self._encode()
+        except BaseException:  # leave no empty places to the worker's next task
             self.kept.clear()
-            new = list(set().union(*split))
-        self._encode(new)
-        return [b"".join(map(self.kept.__getitem__, words)) for words in split]
+            self.kept.new = []
+            raise
+        return [b"".join(f) for f in found]
 
 
 _WORKERS: dict[str, WordIds] = {}

@@ -252,6 +252,19 @@ def test_packing(spark, odd_docs, no_docs, monkeypatch):
     assert packing.pack(no_docs, path).count() == 0
 
 
+def test_word_ids():
+    """Word by word gives what the tokenizer gives for the whole text: capitals, marks, bars, special tokens, odd spaces; also while words are let go."""
+    parts = [*"aAbHhTWIiſÅéßİıΣσς.,'|<>-!?012ªº中 \t\n\x0b\x1c\x85\xa0\u200b\u2003\u0331\u0308\u030a\u0307\u0323", "'s", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", ", ", ". ", "word", "Word", "WORD,", "don't."]
+    ids, r = packing.WordIds(packing.tokenizer_path()), np.random.default_rng(5)
+    for _ in range(300):
+        texts = ["".join(r.choice(parts, r.integers(0, 12))) for _ in range(16)]
+        want = [np.array(e.ids, "<u4").tobytes() for e in ids.of.encode_batch(texts, add_special_tokens=False)]
+        assert ids([t.encode() for t in texts], 200) == want
+    with pytest.raises(UnicodeDecodeError):
+        ids([b"fine \xff"])
+    assert ids([b"fine"]) == [np.array(ids.of.encode("fine", add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def test_pipeline(spark, odd_docs):
     import corpus_pipeline as p
 
