@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a bounded sample of the vectors a graph of nearest neighbours is cut into PARTS parts of balanced size, and a
-small network learns where a vector's neighbours lie. Every row is indexed under its most probable part; a
+On a bounded sample of the vectors a graph of nearest neighbours is cut into parts of balanced size, and a small
+network learns where a vector's neighbours lie. The number of parts grows with the square root of the number of rows. Every row is indexed under its most probable part; a
 query is sent to its most probable parts until they hold PROBABILITY of the mass (and enough candidates), and is
 ranked there by exact inner products. Parts are dealt into blocks of bounded size for the ranking.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,9 +19,11 @@ from pyspark.sql import functions as F
 
 from placewise.llm.common import save, table
 
-#: Most vectors that the partition is learned from.
-SAMPLE = 4096
-PARTS, NEIGHBOURS, SWEEPS, SLACK = 32, 20, 8, 1.1
+#: Least and most parts; there is one for every ROOT units of the square root of the number of rows.
+PARTS, MOST_PARTS, ROOT = 32, 512, 4
+#: The partition is learned from so many vectors for each part, SAMPLE at least (and so 32,768 at most).
+SAMPLE, SAMPLE_PART = 4096, 64
+NEIGHBOURS, SWEEPS, SLACK = 20, 8, 1.1
 UNITS, PASSES, BATCH, RATE = 96, 30, 128, 3e-3
 PROBABILITY, LEAST_PARTS = 0.995, 4
 #: Most candidates and queries that a block has, about.
@@ -125,6 +128,19 @@ class Router:
         return net
 
 
+def parts_for(n: int) -> int:
+    """Parts of an index over n rows."""
+    return min(MOST_PARTS, max(PARTS, -(-math.isqrt(n) // ROOT)))
+
+
+def draw(rows: DataFrame, n: int, size: int) -> DataFrame:
+    """The size rows of least id hash, out of n; a bound on the hash keeps most others from being sorted at all."""
+    share = 2 * size / max(1, n)
+    if share < 1:
+        rows = rows.where(F.xxhash64("vec_id") < F.lit(int(share * 2**64) - 2**63))
+    return rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size)
+
+
 def learn(x: np.ndarray, parts: int = PARTS) -> Router:
     parts = max(1, min(parts, len(x) // 8))
     scaled = x / max(1e-300, float(np.abs(x).max())) if len(x) else x
@@ -168,13 +184,14 @@ def _ranked(k: int):
     return rank
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, parts: int = PARTS) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, parts: int | None = None) -> DataFrame:
     """The k nearest rows found for each query: query_id, rank, vec_id, score (inner product, in double).
 
     rows and queries: columns vec_id, vector. A vector that is null, zero or has null or non-finite components
     takes no part, nor one of another length than most, nor one without id. A query doesn't find rows of its own
     id; queries that repeat an id count once (with the least vector). Ties go to the smaller vec_id. With fewer
-    than k candidates all are returned; an empty table gives an empty result.
+    than k candidates all are returned; an empty table gives an empty result. parts: None for as many as the number
+    of rows asks for.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
@@ -182,7 +199,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, parts: int = PARTS
     usual = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = usual["d"] if usual else 0
     rows, queries = rows.where(F.size("vector") == d), queries.where(F.size("vector") == d)
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    parts = parts or parts_for(usual["count"] if usual else 0)
+    size = max(SAMPLE, SAMPLE_PART * parts)
+    drawn = draw(rows, usual["count"] if usual else 0, size).toPandas()
+    if usual and not len(drawn):  # few ids, often repeated, all beyond the bound
+        drawn = draw(rows, size, size).toPandas()
     if not len(drawn):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router = learn(np.array(drawn.vector.tolist(), np.float64), parts)

@@ -46,6 +46,31 @@ def test_balanced_parts():
     assert np.bincount(own, minlength=8).max() <= np.ceil(400 / 8 * ann.SLACK)
 
 
+def test_parts_grow_with_rows():
+    sizes = [0, 1, 2_000, 16_000, 51_282, 1_000_000, 10**8, 10**12]
+    parts = [ann.parts_for(n) for n in sizes]
+    assert parts == sorted(parts) and parts[0] == ann.PARTS and parts[4] == 57 and parts[-1] == ann.MOST_PARTS
+
+
+def test_draw_is_the_least_hashes(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("vec_id"))
+    want = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(100).collect()
+    assert ann.draw(rows, 20_000, 100).collect() == want
+    assert ann.draw(rows.limit(50), 50, 100).count() == 50
+
+
+def test_few_ids_often_repeated(spark):
+    rows = spark.range(12_000).select(F.when(F.col("id") < 6000, 20).otherwise(7).cast("long").alias("vec_id"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vector"))
+    got = ann.nearest(rows, rows.where("vec_id = 20"), k=3).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(20, i, 7) for i in (1, 2, 3)]
+
+
+def test_many_parts_find_the_neighbours(spark):
+    rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    few, many = ({(r.query_id, r.vec_id) for r in ann.nearest(rows, rows.where("vec_id % 20 = 0"), parts=p).collect()} for p in (1, 60))
+    assert len(few) == len(many) and len(few & many) >= 0.9 * len(few)
+
+
 def test_url_filter_equals_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view pages as select * from '{DATA}/pages.parquet'")
