@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, as every operator here counts it: a run of anything but ASCII white space.
@@ -59,6 +59,14 @@ def forget(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def least_hashed(ids: DataFrame, size: int, salts: int = 256) -> DataFrame:
+    """The size rows of least hash of doc_id, the only column: each of salts groups of input partitions chooses first, so
+    that the task that chooses last gets salts * size rows at most, however many partitions there are."""
+    hashed = ids.select("doc_id", F.xxhash64("doc_id").alias("h"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
+    place = F.row_number().over(Window.partitionBy("salt").orderBy("h", "doc_id"))
+    return hashed.withColumn("place", place).where(F.col("place") <= size).orderBy("h", "doc_id").limit(size).select("doc_id")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes end to end, and the n + 1 bounds of its rows. A null row is empty."""
     if column.null_count:

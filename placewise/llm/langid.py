@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm.common import STEP_BYTES, fold, table
+from placewise.llm.common import STEP_BYTES, fold, least_hashed, table
 
 ORDERS = (1, 2, 3)
 #: Hashed features of each order.
@@ -159,7 +159,7 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
     counted = counted[counted.feature >= 0]
     df[counted.feature.to_numpy()] = counted.n.to_numpy()
     # at most `sample` ids; ids are drawn first, so that no text moves but those of the sample
-    ids = F.broadcast(known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    ids = F.broadcast(least_hashed(known.select("doc_id"), sample))
     drawn = known.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("text", "lang")
     rows = drawn.mapInArrow(_vectors, "lang string, ids binary, tf binary").toPandas().sort_values(["lang", "ids", "tf"])
     classes = sorted(rows.lang.unique())

@@ -11,11 +11,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from placewise.llm import langid, lm, quality
-from placewise.llm.common import fold, steps, table, utf8, word_bounds
+from placewise.llm.common import fold, least_hashed, steps, table, utf8, word_bounds
 
 from .conftest import DATA
 
 
+def test_least_hashed(spark):
+    ids = spark.range(0, 5000, 1, 7).select(F.col("id").alias("doc_id")).unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS doc_id UNION ALL SELECT 3L"))
+    want = ids.orderBy(F.xxhash64("doc_id"), "doc_id")
+    for size in (1, 300, 6000):
+        assert least_hashed(ids, size, salts=3).collect() == want.limit(size).collect()
+    assert least_hashed(ids.limit(0), 5).count() == 0
+
+
 def test_fold_is_crc32(spark):
     got = {r["id"]: r["f"] for r in spark.range(50).select("id", fold("id", 5).alias("f")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 for i in range(50)}
