@@ -4,9 +4,12 @@ Pages of one host are read in chunks. Every element is a token, told apart by it
 of the open elements). Tokens with the same vector of occurrences over the chunk's pages form an equivalence
 class; a class is valid if its tokens come in the same order on every page. The valid class of tokens that stand
 once on every page is the template's skeleton; classes with other vectors (list items and their links, the
-paragraphs) nest inside its elements as repeated parts. What lies between is the slots. The main slot is the
-skeleton's article or main element, or else its deepest element that holds most of the text that differs between
-the pages; its blocks are the page's text, without parts that are set apart as menus, notices, adverts and so on.
+paragraphs) nest inside its elements as repeated parts. What lies between is the slots. Parts that are set apart by
+their element's name or by words of its marks (menus, notices, adverts and so on) are left out first. The main slot
+is the deepest element of the skeleton that holds most of the text that differs between the pages, or an article or
+main element of the skeleton that does. Its blocks are the page's text, without the template's own text at
+either end of a slot that is no such element. Pages of a chunk with other article or main elements are of another
+template.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from placewise.llm.url_filter import url_parts
 CHUNK, LARGEST = 64, 96
 #: A host of more pages is dealt to several tasks, each with about so many; the most such hosts, by pages, that are broadcast.
 TASK_PAGES, HOT_HOSTS = 1024, 100_000
-#: Share of the differing text that the main slot holds where no article or main element tells it.
+#: Share of the differing text that a skeleton's article or main element holds where it is the main slot.
 MOST = 0.6
+#: Text is the template's if so many pages, and this share of them, have it at one place.
+LEAST, ALIKE = 5, 0.8
 
 # Element names and words of classes, ids and roles.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
@@ -178,51 +183,58 @@ def classes(pages: list[Page]) -> dict[tuple[int, ...], list[str]]:
     return valid
 
 
-def deduce(pages: list[Page]) -> tuple[set[str], str | None, set[tuple[str, str]]]:
-    """Skeleton tokens, the main slot's token (None if the pages' own article or main elements tell it), and text that belongs to the template."""
-    found = classes(pages)
-    skeleton = {t for v, tokens in found.items() if set(v) == {1} for t in tokens}
-    skeleton |= {""}
-    seen: Counter[tuple[str, str]] = Counter()
-    for p in pages:
-        seen.update({(p.elements[e][0], text) for e, text in p.blocks})
-    # text that stands at one place of (nearly) every page belongs to the template
-    constant = {k for k, n in seen.items() if len(pages) >= 5 and n >= 0.8 * len(pages)}
-    if all(p.main for p in pages):
-        return skeleton, None, set()
+def constants(pages: list[Page]) -> set[tuple[str, str]]:
+    """Text (token, text) that stands at one place of (nearly) all pages."""
+    seen = Counter(k for p in pages for k in {(p.elements[e][0], text) for e, text in p.blocks})
+    return {k for k, n in seen.items() if n >= max(LEAST, ALIKE * len(pages))}
+
+
+def deduce(pages: list[Page], constant: set[tuple[str, str]]) -> tuple[set[str], str, bool]:
+    """Skeleton tokens, the main slot's token, and whether that is an article or main element. All pages are of one template.
+
+    The slot is the deepest skeleton element that holds MOST of the text that differs between the pages. Where an article or
+    main element of the skeleton holds MOST of it, that element (the outermost one) is the slot.
+    """
+    skeleton = {t for v, tokens in classes(pages).items() if set(v) == {1} for t in tokens} | {""}
     volume: Counter[str] = Counter()
-    for p in pages:
-        for e, text in p.blocks:
-            if (p.elements[e][0], text) not in constant:
-                for a in p.chain(e):
-                    if p.elements[a][0] in skeleton:
-                        volume[p.elements[a][0]] += len(text)
-    whole = volume[""]
-    main = max((t for t in skeleton if volume[t] >= MOST * whole), key=lambda t: (t.count(">"), volume[t], t), default="")
-    return skeleton, main, constant
+    for differs in (True, False):  # if no text differs, all text counts
+        for p in pages:
+            for e, text in p.blocks:
+                if not differs or (p.elements[e][0], text) not in constant:
+                    for a in p.chain(e):
+                        if p.elements[a][0] in skeleton:
+                            volume[p.elements[a][0]] += len(text)
+        if volume:
+            break
+    depth = lambda t: (t.count(">"), t)
+    told = {p.elements[e][0] for p in pages for e in p.main} & skeleton
+    if told := {t for t in told if volume[t] >= MOST * volume[""]}:
+        return skeleton, min(told, key=depth), True
+    return skeleton, max((t for t in skeleton if volume[t] >= MOST * volume[""]), key=depth), False
 
 
 def extract(sources: list[str]) -> list[str]:
     """Main text of each page of one host's chunk; in any order, equal sets of pages give equal texts."""
     pages = [Page(s) for s in sources]
-    filled = [p for p in pages if p.blocks]
-    if not filled:
-        return [""] * len(pages)
-    _, slot, constant = deduce(filled)
-    out = []
+    templates: dict[frozenset[str], list[Page]] = defaultdict(list)
     for p in pages:
-        def inside(e: int, p: Page = p) -> bool:
-            if p.main:
-                return any(a in p.main for a in p.chain(e))
-            return any(p.elements[a][0] == slot for a in p.chain(e))
-
-        own = [(e, t) for e, t in p.blocks if inside(e)]
-        if not own and not p.main:  # the page doesn't follow the template
-            own = p.blocks
-        if not p.main:
-            own = [(e, t) for e, t in own if (p.elements[e][0], t) not in constant]
-        out.append("\n\n".join(t for _, t in own))
-    return out
+        if p.blocks:
+            templates[frozenset(p.elements[e][0] for e in p.main)].append(p)
+    everywhere = constants([p for p in pages if p.blocks])
+    texts = {}
+    for own in templates.values():
+        constant = everywhere | constants(own) if len(templates) > 1 else everywhere
+        skeleton, slot, told = deduce(own, constant)
+        for p in own:
+            inside = [(e, t) for e, t in p.blocks if any(p.elements[a][0] == slot for a in p.chain(e))]
+            if not told:  # the template's text before and after what differs; repeated parts, and what stands in between, are the page's
+                fixed = [(p.elements[e][0], t) in constant and p.elements[e][0] in skeleton for e, t in inside]
+                while fixed and fixed[-1]:
+                    fixed.pop()
+                first = fixed.index(False) if fixed else 0
+                inside = inside[first : len(fixed)]
+            texts[id(p)] = "\n\n".join(t for _, t in inside)
+    return [texts.get(id(p), "") for p in pages]
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,6 +144,18 @@ def test_equivalence_classes():
     assert [t.rpartition(">")[2] for t in found[(1, 1, 1)]][-3:] == ["div", "h1", "ul"]
     assert [t.rpartition(">")[2] for t in found[(1, 2, 3)]] == ["li"]
 
+def test_classes_choose_the_slot_beside_an_article():
+    # the article holds a teaser; the text that differs is elsewhere, so the article isn't the main slot
+    page = "<body><article><p>Hint {n}</p></article><div class=text><p>" + "long {n} words {n} here " * 20 + "</p><p>end {n}</p></div></body>"
+    for n, got in enumerate(html.extract([page.format(n=n) for n in range(8)])):
+        assert got.endswith(f"end {n}") and f"long {n} words" in got
+    pages = [html.Page(PAGE.format(n=n, main="article")) for n in range(8)]
+    skeleton, slot, told = html.deduce(pages, html.constants(pages))
+    assert told and slot in skeleton and slot.endswith(">article")
+    # pages of another template in the chunk change nothing
+    mixed = [PAGE.format(n=n, main="article") for n in range(8)] + ["<body class=start><p>Welcome</p></body>"]
+    assert html.extract(mixed)[:8] == html.extract(mixed[:8]) and html.extract(mixed)[8] == "Welcome"
+
 
 def test_media_round_trip(spark, odd_docs, no_docs):
     got = [r for r in media.audio_digests(odd_docs).collect()]
