@@ -6,8 +6,8 @@ class; a class is valid if its tokens come in the same order on every page. The
 once on every page is the template's skeleton; classes with other vectors (list items and their links, the
 paragraphs) nest inside its elements as repeated parts. What lies between is the slots. Parts that are set apart by
 their element's name or by words of its marks (menus, notices, adverts and so on) are left out first. The main slot
-is the deepest element of the skeleton that holds most of the text that differs between the pages, or an article or
-main element of the skeleton that does. Its blocks are the page's text, without the template's own text at
+is the deepest element of the skeleton that holds all the text that differs between the pages, or an article or main
+element of the skeleton that holds most of it. Its blocks are the page's text, without the template's own text at
 either end of a slot that is no such element. Pages of a chunk with other article or main elements are of another
 template.
 """
@@ -192,7 +192,7 @@ def constants(pages: list[Page]) -> set[tuple[str, str]]:
 def deduce(pages: list[Page], constant: set[tuple[str, str]]) -> tuple[set[str], str, bool]:
     """Skeleton tokens, the main slot's token, and whether that is an article or main element. All pages are of one template.
 
-    The slot is the deepest skeleton element that holds MOST of the text that differs between the pages. Where an article or
+    The slot is the deepest skeleton element that holds all text that differs between the pages. Where an article or
     main element of the skeleton holds MOST of it, that element (the outermost one) is the slot.
     """
     skeleton = {t for v, tokens in classes(pages).items() if set(v) == {1} for t in tokens} | {""}
@@ -210,7 +210,7 @@ def deduce(pages: list[Page], constant: set[tuple[str, str]]) -> tuple[set[str],
     told = {p.elements[e][0] for p in pages for e in p.main} & skeleton
     if told := {t for t in told if volume[t] >= MOST * volume[""]}:
         return skeleton, min(told, key=depth), True
-    return skeleton, max((t for t in skeleton if volume[t] >= MOST * volume[""]), key=depth), False
+    return skeleton, max((t for t in skeleton if volume[t] == volume[""]), key=depth), False
 
 
 def extract(sources: list[str]) -> list[str]:

@@ -156,6 +156,15 @@ def test_classes_choose_the_slot_beside_an_article():
     mixed = [PAGE.format(n=n, main="article") for n in range(8)] + ["<body class=start><p>Welcome</p></body>"]
     assert html.extract(mixed)[:8] == html.extract(mixed[:8]) and html.extract(mixed)[8] == "Welcome"
 
+def test_slot_holds_all_that_differs():
+    page = "<body><div class=content><h1>Title {n}</h1><div class=lead>Lead {n}</div><div class=text><p>" + "word{n} " * 60 + "</p><p>End {n}</p></div></div></body>"
+    for n, got in enumerate(html.extract([page.format(n=n) for n in range(8)])):
+        assert got.split("\n\n") == [f"Title {n}", f"Lead {n}", " ".join([f"word{n}"] * 60), f"End {n}"]
+    page = "<body><div class=x><h1>Title {n}</h1><p>" + "word{n} " * 60 + "</p></div></body>"
+    assert all(got.startswith(f"Title {n}\n\n") for n, got in enumerate(html.extract([page.format(n=n) for n in range(8)])))
+    for n, got in enumerate(html.extract([PAGE.format(n=n, main="div") for n in range(8)])):
+        assert got.split("\n\n") == [f"Title {n} & more", f"First block {n} goes on bold.", f"Second {n}", f"one {n}", "two", f"x < y {n}", f"a b{n}"]
+
 
 def test_media_round_trip(spark, odd_docs, no_docs):
     got = [r for r in media.audio_digests(odd_docs).collect()]
