@@ -9,7 +9,7 @@ their element's name or by words of its marks (menus, notices, adverts and so on
 is the deepest element of the skeleton that holds all the text that differs between the pages, or an article or main
 element of the skeleton that holds most of it. Its blocks are the page's text, without the template's own text at
 either end of a slot that is no such element. Pages of a chunk with other article or main elements are of another
-template.
+template. Copies count as one page.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ CHUNK, LARGEST = 64, 96
 TASK_PAGES, HOT_HOSTS = 1024, 100_000
 #: Share of the differing text that a skeleton's article or main element holds where it is the main slot.
 MOST = 0.6
-#: Text is the template's if so many pages, and this share of them, have it at one place.
+#: Text is the template's if so many different pages, and this share of them, have it at one place.
 LEAST, ALIKE = 5, 0.8
+#: Pages of which so large a share of the words is common are copies of one another.
+COPY = 0.5
 
 # Element names and words of classes, ids and roles.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
@@ -183,10 +185,42 @@ def classes(pages: list[Page]) -> dict[tuple[int, ...], list[str]]:
     return valid
 
 
+def distinct(pages: list[Page]) -> list[int]:
+    """A number for each page, equal for copies: pages whose words are alike to COPY or more, directly or through others."""
+    words = [frozenset(w for _, t in p.blocks for w in t.split()) for p in pages]
+    kinds = list(dict.fromkeys(words))
+    root = list(range(len(kinds)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, x in enumerate(kinds):
+        for j in range(i):
+            y = kinds[j]
+            if min(len(x), len(y)) >= COPY * max(len(x), len(y)) and find(i) != find(j):
+                both = len(x & y)
+                if both >= COPY * (len(x) + len(y) - both):
+                    root[find(i)] = find(j)
+    at = {w: find(i) for i, w in enumerate(kinds)}
+    return [at[w] for w in words]
+
+
 def constants(pages: list[Page]) -> set[tuple[str, str]]:
-    """Text (token, text) that stands at one place of (nearly) all pages."""
-    seen = Counter(k for p in pages for k in {(p.elements[e][0], text) for e, text in p.blocks})
-    return {k for k, n in seen.items() if n >= max(LEAST, ALIKE * len(pages))}
+    """Text (token, text) that stands at one place of (nearly) all pages, copies counted once."""
+    own = [{(p.elements[e][0], text) for e, text in p.blocks} for p in pages]
+    # text of so many pages that differ is on so many pages; most chunks have none, and their pages need not be compared
+    often = {k for k, n in Counter(k for texts in own for k in texts).items() if n >= LEAST}
+    if not often:
+        return set()
+    kind = distinct(pages)
+    needed = max(LEAST, ALIKE * len(set(kind)))
+    holders: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for texts, k in zip(own, kind, strict=True):
+        for text in texts & often:
+            holders[text].add(k)
+    return {text for text, kinds in holders.items() if len(kinds) >= needed}
 
 
 def deduce(pages: list[Page], constant: set[tuple[str, str]]) -> tuple[set[str], str, bool]:

@@ -165,6 +165,27 @@ def test_slot_holds_all_that_differs():
     for n, got in enumerate(html.extract([PAGE.format(n=n, main="div") for n in range(8)])):
         assert got.split("\n\n") == [f"Title {n} & more", f"First block {n} goes on bold.", f"Second {n}", f"one {n}", "two", f"x < y {n}", f"a b{n}"]
 
+def test_copies_are_no_template():
+    text = "<h1>The title</h1><p>" + " ".join(f"w{i}" for i in range(60)) + "</p><p>last words</p>"
+    page = "<body><div class=day>day {n}</div><div class=content>{text}</div></body>"
+    want = html.extract([f"<body><div class=content>{text}</div></body>"])[0]
+    copies = [page.format(n=n, text=text) for n in range(52)]
+    others = [page.format(n=n, text=f"<h1>Title {n}</h1><p>" + " ".join(f"v{n}x{i}" for i in range(40)) + "</p>") for n in range(52, 64)]
+    for chunk in (copies[:5], copies, copies + others):
+        for got, _ in zip(html.extract(chunk), copies, strict=False):
+            assert want in got
+    # near copies share the title and most words
+    near = [page.format(n=n, text=text.replace("w7 ", f"z{n} ")) for n in range(8)]
+    assert all("The title" in got and got.endswith("last words") for got in html.extract(near))
+    # what pages that differ have in common is the template still
+    common = [p.replace("<body>", "<body><div class=top>Welcome to us</div>") for p in others]
+    assert all("Welcome" not in got and f"Title {n}" in got for n, got in enumerate(html.extract(common), 52))
+
+
+def test_short_blocks_alike_on_all_pages():
+    for n, got in enumerate(html.extract([PAGE.format(n=n, main="div") for n in range(8)])):
+        assert "two" in got.split("\n\n"), n
+
 
 def test_media_round_trip(spark, odd_docs, no_docs):
     got = [r for r in media.audio_digests(odd_docs).collect()]
