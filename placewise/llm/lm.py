@@ -1,8 +1,10 @@
 """Language-model scores by Brown's class-based bigrams.
 
 Words are counted over all training documents. The TOP most frequent ones are dealt into CLASSES classes by
-exchange clustering (each word moves to the class that raises the likelihood of class bigrams most); every other
-word belongs to the class of its count's band (1, 2, 3-4, 5-8, ...), the end token has a class of its own.
+exchange clustering (each word moves to the class that raises the likelihood of class bigrams most). Every other word
+of PLACED_FROM occurrences or more is then placed into the class that makes its own neighbours likeliest; the counts of
+a word's neighbours by class are added up by word, so that the vocabulary grows with the corpus. A rarer word belongs
+to the class of its count's band (1, 2, 3-4, ...), the end token has a class of its own.
 P(w | before) = P(class of w | class before) * P(w | its class); transitions are smoothed towards the classes'
 own shares, emissions by add-one. Unknown words share one class, whose probability is split off that of the
 words seen once by the Good-Turing ratio. All counts, of words and of neighbouring symbols, cover all training
@@ -32,6 +34,11 @@ GROUP_BYTES = 8 << 20
 #: Pseudo-counts with which a class's own share weighs in its transitions.
 SMOOTHING = 20.0
 END, UNKNOWN, SYMBOLS = TOP + BANDS, TOP + BANDS + 1, TOP + BANDS + 2
+#: Words from this count on are placed by their neighbours; those of a class share a symbol, SYMBOLS + class.
+PLACED_FROM = 4
+CODES = SYMBOLS + CLASSES
+#: What the bytes of a word's neighbours are: a class of the TOP words, another word or the end; RIGHT is added for those after it.
+OTHER_SIDE, END_SIDE, RIGHT = CLASSES, CLASSES + 1, 64
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -89,20 +96,131 @@ def _group_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _code(top: np.ndarray, n_ends: int):
-    """For a group's documents and its words' corpus counts: each document's symbols and sums."""
+def _ranks(top: np.ndarray):
+    """For words' hashes: their places in top, -1 for other words."""
     order = np.argsort(top)
     sorted_top = top[order]
 
+    def ranks(h: np.ndarray) -> np.ndarray:
+        if not len(top):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(sorted_top, h), len(top) - 1)
+        return np.where(sorted_top[at] == h, order[at], -1)
+
+    return ranks
+
+
+def _top_pairs(top: np.ndarray):
+    """How often the top words follow one another, in rows (pair, n); TOP stands for any other word."""
+    ranks = _ranks(top)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        for batch in batches:
+            for _, _, own, n in tokens(*utf8(batch.column(0))):
+                place = ranks(own)
+                flat, _ = _ended(np.where(place < 0, TOP, place), n, END)
+                total += np.bincount(flat[:-1] * SYMBOLS + flat[1:], minlength=len(total))
+                total[END * SYMBOLS + END] -= len(n) - 1  # between two documents there is no pair
+        nz = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(nz, pa.int32()), pa.array(total[nz])], ["pair", "n"])
+
+    return count
+
+
+def _ended(values: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' values, each row between two end values of its own; and where the values went."""
+    at = np.arange(len(values)) + np.repeat(2 * np.arange(len(n)) + 1, n)
+    flat = np.full(len(values) + 2 * len(n), end, np.int64)
+    flat[at] = values
+    return flat, at
+
+
+def _neighbours(top: np.ndarray, cls: np.ndarray):
+    """For a group's training documents and its words to place: each word's neighbours in the group, two bytes an occurrence."""
+    ranks = _ranks(top)
+    sides = np.append(cls[: len(top)], OTHER_SIDE)  # the last one for place -1
+
+    def gather(docs: pa.Table, words: pa.Table) -> pa.Table:
+        h = np.sort(words["h"].to_numpy())
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        if len(h):
+            for _, _, own, n in tokens(*_unpacked(docs["z"].combine_chunks())) if docs.num_rows else ():
+                side, where = _ended(sides[ranks(own)], n, END_SIDE)
+                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
+                mine = h[at] == own
+                where = where[mine]
+                held.append((at[mine].astype(np.int32), np.stack((side[where - 1], side[where + 1] + RIGHT), axis=1).astype(np.uint8)))
+        at = np.concatenate([x[0] for x in held]) if held else np.zeros(0, np.int32)
+        order = np.argsort(at, kind="stable")
+        data = np.concatenate([x[1] for x in held])[order] if held else np.zeros((0, 2), np.uint8)
+        bounds = np.concatenate(([0], 2 * np.cumsum(np.bincount(at, minlength=len(h))))).astype(np.int32)
+        near = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
+        return pa.table([pa.array(h), near], names=["h", "near"])
+
+    return gather
+
+
+def preferences(pairs: np.ndarray, cls: np.ndarray, n_top: int) -> np.ndarray:
+    """log P(neighbour's side | class) for each byte of a word's neighbours (rows) and each class of the top words."""
+    k = int(cls[:n_top].max()) + 1
+    side = np.full(len(cls), OTHER_SIDE)
+    side[:n_top], side[END] = cls[:n_top], END_SIDE
+    q = np.zeros((END_SIDE + 1, END_SIDE + 1))
+    np.add.at(q, (side[:, None].repeat(len(cls), 1), side[None, :].repeat(len(cls), 0)), pairs)
+    out = np.zeros((256, k))
+    for first, x in ((0, q.T), (RIGHT, q)):  # x: class before or after which the side stands, side
+        share = (x.sum(0) + 1) / (x.sum() + len(x))
+        out[first : first + len(x)] = np.log((x[:k] + SMOOTHING * share) / (x[:k].sum(1, keepdims=True) + SMOOTHING)).T
+    return out
+
+
+def _placed(prefer: np.ndarray):
+    """Rows sorted by word: h, near. The likeliest class of each word's neighbours, of equal ones the lowest."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, np.zeros(prefer.shape[1])
+
+        def out(h: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(np.round(scores, 6).argmax(1), pa.int32())], ["h", "k"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            h = batch.column(0).to_numpy()
+            data, bounds = utf8(batch.column(1))
+            cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            edges = np.append(bounds[cut], bounds[-1])
+            counts = np.zeros((len(cut), 256))
+            word = np.repeat(np.arange(len(cut)), np.diff(edges))
+            counts = np.bincount(word * 256 + data, minlength=len(cut) * 256).reshape(-1, 256)
+            scores, own = counts @ prefer, h[cut]
+            if own[0] == last:
+                scores[0] += left
+            elif last is not None:
+                yield out(np.array([last]), left[None])
+            last, left = own[-1], scores[-1]
+            if len(own) > 1:
+                yield out(own[:-1], scores[:-1])
+        if last is not None:
+            yield out(np.array([last]), left[None])
+
+    return place
+
+
+def _code(top: np.ndarray, n_ends: int):
+    """For a group's documents and its words' corpus counts and classes: each document's symbols and sums."""
+    ranks = _ranks(top)
+
     def code(docs: pa.Table, words: pa.Table) -> pa.Table:
-        h, c = words["h"].to_numpy(), words["c"].to_numpy()
+        h, c, k = words["h"].to_numpy(), words["c"].to_numpy(), words["k"].to_numpy()
         by = np.argsort(h)
-        h, c = h[by], c[by]
+        h, c, k = h[by], c[by], k[by]
         band = np.minimum(np.ceil(np.log2(np.maximum(c, 1))).astype(np.int64), BANDS - 1)
         symbol = np.where(c > 0, TOP + band, UNKNOWN)
-        if len(sorted_top) and len(h):
-            at = np.minimum(np.searchsorted(sorted_top, h), len(sorted_top) - 1)
-            symbol = np.where(sorted_top[at] == h, order[at], symbol)
+        symbol = np.where(k >= 0, SYMBOLS + k, symbol)
+        place = ranks(h)
+        symbol = np.where(place >= 0, place, symbol)
         logs = np.log10(c + 1.0)
         to = zstandard.ZstdCompressor(level=1)
         end_known = int(n_ends > 0)
@@ -130,12 +248,12 @@ def _symbols(z: bytes, of: zstandard.ZstdDecompressor) -> np.ndarray:
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often two symbols follow one another, a row for each pair that a task has seen."""
-    of, total = zstandard.ZstdDecompressor(), np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    of, total = zstandard.ZstdDecompressor(), np.zeros(CODES * CODES, np.int64)
     for batch in batches:
         held, size = [], 0
         for z in batch.column(0).to_pylist():
             s = _symbols(z, of)
-            held.append(s[:-1] * SYMBOLS + s[1:])
+            held.append(s[:-1] * CODES + s[1:])
             size += len(s)
             if size > 1_000_000:
                 total += np.bincount(np.concatenate(held), minlength=len(total))
@@ -208,9 +326,9 @@ class Model:
         return float(self.step[c[:-1], c[1:]].sum() - self.under[symbols[1:]].sum())
 
 
-def fit(pairs: np.ndarray, types: np.ndarray, n_top: int) -> Model:
-    """pairs: counts of neighbouring symbols; types: words of each symbol (0 for the unknown one)."""
-    cls = exchange(pairs, n_top)
+def fit(pairs: np.ndarray, types: np.ndarray, n_top: int, cls: np.ndarray | None = None) -> Model:
+    """pairs: counts of neighbouring symbols; types: words of each symbol (0 for the unknown one); cls: their classes, if known."""
+    cls = exchange(pairs, n_top) if cls is None else cls
     total = int(cls.max()) + 1
     if not pairs.any():  # nothing was learnt: all tokens are the one unknown word
         return Model(cls, np.zeros((total, total)), np.zeros(len(cls)))
@@ -235,6 +353,14 @@ def fit(pairs: np.ndarray, types: np.ndarray, n_top: int) -> Model:
         return Model(cls, np.log10(step), under)
 
 
+def _gathered(pairs: DataFrame, size: int) -> np.ndarray:
+    """The counts of rows (pair, n), size ** 2 pairs at most."""
+    out = np.zeros(size * size)
+    rows = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    out[rows.pair.to_numpy()] = rows.n.to_numpy()
+    return out.reshape(size, size)
+
+
 def score_documents(docs: DataFrame, may_learn: Column, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """A row per document: doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
@@ -258,18 +384,32 @@ def score_documents(docs: DataFrame, may_learn: Column, group_bytes: int = GROUP
     total, distinct = (sums[1] or 0) + n_ends, sums[0] + int(n_ends > 0)
     top = types.orderBy(F.desc("c"), "h").select("h", "c").limit(TOP).collect()
     top_h = np.array([r["h"] for r in top], np.int64)
+    seen = docs.where(may_learn).select("text").mapInArrow(_top_pairs(top_h), "pair int, n long")
+    pairs = _gathered(seen, SYMBOLS)
+    cls = exchange(pairs, len(top))
+    # the top words' own classes; what is placed shares them
+    cls = np.append(cls, np.minimum(np.arange(CLASSES), max(len(top), 1) - 1))
+    if len(top) == TOP:
+        # grows with the corpus: stays in tables
+        placing = counted.where(F.col("c") >= PLACED_FROM).where(~F.col("h").isin([int(h) for h in top_h])).select("grp", "h")
+        near = packed.where("learn").groupBy("grp").cogroup(placing.groupBy("grp")).applyInArrow(_neighbours(top_h, cls), "h long, near binary")
+        placed = save(near.repartition("h").sortWithinPartitions("h").mapInArrow(_placed(preferences(pairs, cls[:SYMBOLS], len(top))), "h long, k int"))
+    else:  # all words are among the top ones
+        placed = types.select("h", F.lit(0).alias("k")).limit(0)
+    words = counted.select("grp", "h", "c").join(placed, "h", "left").select("grp", "h", "c", F.coalesce("k", F.lit(-1)).alias("k"))
     schema = f"{kind}, learn boolean, n_tokens long, n_known long, log_sum double, codes binary"
-    coded = save(packed.groupBy("grp").cogroup(counted.select("grp", "h", "c").groupBy("grp")).applyInArrow(_code(top_h, n_ends), schema))
-    pairs = np.zeros(SYMBOLS * SYMBOLS)
-    rows = coded.where("learn").select("codes").mapInArrow(_pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # at most SYMBOLS ** 2
-    pairs[rows.pair.to_numpy()] = rows.n.to_numpy()
-    bands = types.join(F.broadcast(spark.createDataFrame([(int(h),) for h in top_h], "h long")), "h", "left_anti").groupBy("c").count()
+    coded = save(packed.groupBy("grp").cogroup(words.groupBy("grp")).applyInArrow(_code(top_h, n_ends), schema))
+    pairs = _gathered(coded.where("learn").select("codes").mapInArrow(_pairs, "pair int, n long"), CODES)
+    rare = types.where(F.col("c") < PLACED_FROM) if len(top) == TOP else types
+    bands = rare.join(F.broadcast(spark.createDataFrame([(int(h),) for h in top_h], "h long")), "h", "left_anti").groupBy("c").count()
     band = F.least(F.ceil(F.log2(F.col("c").cast("double"))).cast("int"), F.lit(BANDS - 1))
-    n_types = np.zeros(SYMBOLS)
+    n_types = np.zeros(CODES)
     n_types[: len(top)], n_types[END] = 1, int(n_ends > 0)
     for r in bands.groupBy(band.alias("band")).agg(F.sum("count").alias("n")).collect():
         n_types[TOP + r["band"]] = r["n"]
-    sent = spark.sparkContext.broadcast(fit(pairs.reshape(SYMBOLS, SYMBOLS), n_types, len(top)))
+    for r in placed.groupBy("k").count().collect():
+        n_types[SYMBOLS + r["k"]] = r["count"]
+    sent = spark.sparkContext.broadcast(fit(pairs, n_types, len(top), cls))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = zstandard.ZstdDecompressor()

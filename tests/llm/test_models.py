@@ -190,6 +190,33 @@ def test_lm_probabilities_sum_to_one():
         assert total == pytest.approx(1)
 
 
+def test_lm_places_words_by_their_neighbours():
+    import pyarrow as pa
+
+    texts = ["a x b", "A y b x", "", "b z", "z"]
+    h = {w: int(lm.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([1])).view(np.int64)[0]) for w in "abxyz"}
+    top, cls = np.array([h["a"], h["b"]]), np.array([0, 1])
+    docs, words = pa.table({"z": lm.compressed(pa.array(texts))}), pa.table({"h": pa.array([h["z"], h["x"]])})
+    got = lm._neighbours(top, cls)(docs, words)
+    near = {a: sorted(zip(z[::2], z[1::2], strict=True)) for a, z in zip(got["h"].to_pylist(), got["near"].to_pylist(), strict=True)}
+    other, end, right = lm.OTHER_SIDE, lm.END_SIDE, lm.RIGHT
+    assert near == {h["x"]: [(0, 1 + right), (1, end + right)], h["z"]: [(1, end + right), (end, end + right)]}
+    seen = next(lm._top_pairs(top)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    n = {divmod(p, lm.SYMBOLS): k for p, k in zip(*(c.to_pylist() for c in seen.columns), strict=True)}
+    assert n == {(lm.END, 0): 2, (0, lm.TOP): 2, (lm.TOP, 1): 2, (1, lm.END): 1, (1, lm.TOP): 2, (lm.TOP, lm.END): 3, (lm.END, lm.END): 1, (lm.END, 1): 1, (lm.END, lm.TOP): 1}
+    # a word's rows may lie in two batches
+    prefer = np.zeros((256, 2))
+    prefer[0, 0] = prefer[1, 1] = 1.0
+    rows = [([5, 7], [bytes([0]), bytes([1])]), ([7, 7], [bytes([0]), bytes([0])]), ([9], [bytes([1, 1, 0])])]
+    made = [pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["h", "near"]) for a, b in rows]
+    assert pa.Table.from_batches(lm._placed(prefer)(iter(made))).to_pydict() == {"h": [5, 7, 9], "k": [0, 0, 1]}
+
+
+def test_lm_words_beyond_the_top_have_classes(spark):
+    got = lm.op10_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n")).first()
+    assert 10 ** (-got.s / got.n) < 1600  # 1,698 with classes for the 1,024 most frequent words only
+
+
 def test_exchange_raises_the_likelihood():
     r = np.random.default_rng(5)
     hidden = np.arange(24) % 3
