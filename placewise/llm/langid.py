@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placewise.llm.common import STEP_BYTES, fold, least_hashed, table
@@ -24,6 +24,8 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 #: Most labelled rows that the weights are trained on (their document frequencies come from all training rows).
 SAMPLE = 3000
+#: Rows of each language that are in the sample at least, where it has so many.
+LEAST_ROWS = 50
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
 _MULTIPLY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -150,6 +152,14 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def least_of_each(known: DataFrame, size: int, salts: int = 256) -> DataFrame:
+    """The ids of the size rows of least hash of each language (doc_id, lang), chosen in groups of partitions first."""
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+    hashed = known.where("doc_id IS NOT NULL").withColumns({"h": F.xxhash64("doc_id"), "salt": F.pmod(F.spark_partition_id(), F.lit(salts))})
+    first = hashed.withColumn("place", place("lang", "salt")).where(F.col("place") <= size).drop("place")
+    return first.withColumn("place", place("lang")).where(F.col("place") <= size).select("doc_id")
+
+
 def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
     """Fit on the rows of docs (doc_id, text, lang) for which may_learn holds and text and lang aren't null."""
     known = docs.where(may_learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
@@ -158,9 +168,9 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
     n_docs = int(counted.loc[counted.feature == -1, "n"].sum())
     counted = counted[counted.feature >= 0]
     df[counted.feature.to_numpy()] = counted.n.to_numpy()
-    # at most `sample` ids; ids are drawn first, so that no text moves but those of the sample
-    ids = F.broadcast(least_hashed(known.select("doc_id"), sample))
-    drawn = known.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("text", "lang")
+    # at most `sample` ids and LEAST_ROWS of each language; ids are drawn first, so that no text moves but those of the sample
+    ids = F.broadcast(least_hashed(known.select("doc_id"), sample).unionByName(least_of_each(known.select("doc_id", "lang"), min(sample, LEAST_ROWS))).distinct())
+    drawn = known.join(ids, "doc_id").dropDuplicates(["doc_id", "lang"]).select("text", "lang")
     rows = drawn.mapInArrow(_vectors, "lang string, ids binary, tf binary").toPandas().sort_values(["lang", "ids", "tf"])
     classes = sorted(rows.lang.unique())
     if not classes:
@@ -172,8 +182,11 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
     for r in rows.itertuples():
         ids, tf = np.frombuffer(r.ids, np.int32), np.frombuffer(r.tf, np.float32)
         data.append((np.append(ids, bias), np.append(tf * idf[ids], 1.0), at[r.lang]))
-    aside = [d for i, d in enumerate(data) if i % 5 == 0] if len(data) >= 50 else []
-    w = ftrl([d for i, d in enumerate(data) if i % 5 or not aside], len(df) + 1, len(classes), EPOCHS)
+    # a language of few rows learns from all of them
+    spare = (rows.groupby("lang").lang.transform("size") >= 5).to_numpy()
+    held = [len(data) >= 50 and i % 5 == 0 and bool(spare[i]) for i in range(len(data))]
+    aside = [d for d, h in zip(data, held, strict=True) if h]
+    w = ftrl([d for d, h in zip(data, held, strict=True) if not h], len(df) + 1, len(classes), EPOCHS)
     temperature = fit_temperature(np.array([v @ w[i] for i, v, _ in aside]).reshape(-1, len(classes)), np.array([c for *_, c in aside], int))
     return Model(classes, (w[:-1] * idf[:, None]).astype(np.float32), w[-1], temperature)
 

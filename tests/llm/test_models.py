@@ -74,6 +74,15 @@ def test_ftrl_is_sparse_and_temperature_calibrates():
     assert langid.fit_temperature(np.zeros((0, 3)), np.zeros(0, int)) == 1.0
 
 
+def test_rare_language_is_learned(spark):
+    common = table(spark, DATA, "documents").where("lang IN ('en', 'de')").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(10**6 + i, f"kiel vi fartas hodiaŭ mia kara amiko {i}", "eo") for i in range(3)], "doc_id long, text string, lang string")
+    model = langid.train(common.unionByName(rare), F.lit(True), sample=1)
+    assert model.classes == ["de", "en", "eo"]
+    ids = langid.least_of_each(common.select("doc_id", "lang"), 2)
+    assert sorted(r.lang for r in common.join(ids, "doc_id").collect()) == ["de", "de", "en", "en"]
+
+
 def test_language_odd_rows(odd_docs, no_docs):
     model = langid.train(odd_docs, F.lit(True))
     assert model.classes == ["de", "en", "es", "fr"]
