@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How far a clamped box stays off a pole: the square root of the double's epsilon.
+# Fixed value: how far a clamped box stays off a pole, the square root of the double's epsilon.
 POLE_GAP = 2.0**-26
 LIMITS = ("xmin", "xmax", "ymin", "ymax")
 
@@ -25,14 +25,16 @@ def expanded(xmin: Column, xmax: Column, ymin: Column, ymax: Column, xexpand: fl
     ]
 
 
-def extent(df: DataFrame, x: str = "LON", y: str = "LAT", by: Sequence[str] = (), xexpand: float = 0.0, yexpand: float = 0.0) -> DataFrame:
+def extent(df: DataFrame, x: str = "LON", y: str = "LAT", by: Sequence[str] = (), xexpand: float = 0.0, yexpand: float = 0.0, also: Mapping[str, Column] | None = None) -> DataFrame:
     """One row per group: raw_xmin, ... (NaN and null skipped on each axis for itself) and the expanded xmin, ...
 
-    A group without any number on an axis has null limits there. One aggregation, combined before the shuffle.
+    A group without any number on an axis has null limits there; null is a group like any other. One aggregation,
+    combined before the shuffle; also: further aggregates by name.
     """
     clean = {a: F.when(~F.isnan(a), F.col(a).cast("double")) for a in (x, y)}
     raw = df.groupBy(*by).agg(
-        F.min(clean[x]).alias("raw_xmin"), F.max(clean[x]).alias("raw_xmax"), F.min(clean[y]).alias("raw_ymin"), F.max(clean[y]).alias("raw_ymax")
+        F.min(clean[x]).alias("raw_xmin"), F.max(clean[x]).alias("raw_xmax"), F.min(clean[y]).alias("raw_ymin"), F.max(clean[y]).alias("raw_ymax"),
+        *[c.alias(n) for n, c in (also or {}).items()],
     )
     sides = expanded(*[F.col(f"raw_{n}") for n in LIMITS], xexpand, yexpand)
     return raw.withColumns(dict(zip(LIMITS, sides, strict=True)))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewise.functions.geometry import bearing, sector_placement
-from placewise.operators.neighbors import neighbours
+from placewise.operators.keys import join_groups
+from placewise.operators.neighbors import neighbours, spots_of
 
 
 def isolation(near: DataFrame, by: Sequence[str] = ("g",), ratio: float = 1.5) -> DataFrame:
@@ -38,31 +39,28 @@ def widest_gap(near: DataFrame, by: Sequence[str] = ("g",)) -> DataFrame:
 
 
 def place_labels(points: DataFrame, id: str = "id", x: str = "x", y: str = "y", by: Sequence[str] = ("g",), offset: float = 1.0, ratio: float = 1.5) -> DataFrame:
-    """by..., id, halign, valign, hoffset, voffset for each point of each group.
+    """by..., id, halign, valign, hoffset, voffset for each point of each group; null is a group of its own.
 
     One point: to the upper right. Two: the first towards the second, the second the other way. More: a point
     that stands apart with its nearest neighbour is labelled away from it, any other into its widest gap. Points
-    at one place share a label; points without finite coordinates get none.
+    at one place share a label; points without id or without finite coordinates get none.
     """
     by = list(by)
-    finite = points.where(points[x].isNotNull() & points[y].isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    # -0.0 and 0.0 are one place
-    placed = finite.select(*by, F.col(id).alias("id"), (F.col(x).cast("double") + 0.0).alias("x"), (F.col(y).cast("double") + 0.0).alias("y"))
-    spots = placed.groupBy(*by, "x", "y").agg(F.min("id").alias("i"))
+    placed = spots_of(points, id, x, y, by).withColumn("i", F.min("id").over(Window.partitionBy(*by, "x", "y")))
     group = Window.partitionBy(*by)
-    counted = spots.withColumn("n", F.count("*").over(group))
-    few = counted.where("n <= 2")
+    counted = placed.select(*by, "i", "x", "y").distinct().withColumn("_n", F.count("*").over(group))
+    few = counted.where("_n <= 2")
     order = group.orderBy("i")
     turn = F.row_number().over(order)
     other = lambda c: F.coalesce(F.lead(c).over(order), F.lag(c).over(order))
-    few = few.withColumns({"k": turn, "ox": other("x"), "oy": other("y")})
-    first = bearing(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"))
-    second = bearing(F.col("ox"), F.col("oy"), F.col("x"), F.col("y")) - 180
-    few = few.withColumn("angle", F.when(F.col("n") == 1, F.lit(45.0)).when(F.col("k") == 1, first).otherwise(second)).select(*by, "i", "angle")
-    many = counted.where("n > 2").select(*by, "i", "x", "y")
+    few = few.withColumns({"_turn": turn, "_ox": other("x"), "_oy": other("y")})
+    first = bearing(F.col("x"), F.col("y"), F.col("_ox"), F.col("_oy"))
+    second = bearing(F.col("_ox"), F.col("_oy"), F.col("x"), F.col("y")) - 180
+    few = few.withColumn("angle", F.when(F.col("_n") == 1, F.lit(45.0)).when(F.col("_turn") == 1, first).otherwise(second)).select(*by, "i", "angle")
+    many = counted.where("_n > 2").select(*by, "i", "x", "y")
     near = neighbours(many, "i", "x", "y", by)
     angle = F.when(F.col("isolated"), F.col("nearest") - 180).otherwise(F.col("ang") + F.col("gap") / 2)
-    more = isolation(near, by, ratio).join(widest_gap(near, by), [*by, "i"]).select(*by, "i", angle.alias("angle"))
-    angles = few.unionByName(more)
-    out = placed.join(spots, [*by, "x", "y"]).join(angles, [*by, "i"])
+    # both come from rows that are dealt by the same keys
+    more = join_groups(isolation(near, by, ratio), widest_gap(near, by), [*by, "i"]).select(*by, "i", angle.alias("angle"))
+    out = join_groups(placed.select(*by, "id", "i"), few.unionByName(more), [*by, "i"])
     return out.withColumn("_p", sector_placement(F.col("angle"), offset)).select(*by, "id", "_p.halign", "_p.valign", "_p.hoffset", "_p.voffset")

@@ -1,9 +1,8 @@
 """Delaunay neighbours of point groups.
 
-An edge is Delaunay if no point lies on it and the cotangents of the angles under which the nearest points on
-either side see it add up to more than zero. A group of up to DENSE points is tested edge by edge with numpy; a
-larger one is triangulated by inserting its points one after the other. Groups are spread over the cluster; a
-single group, the labels of one map, is one task.
+Groups are spread over the cluster and triangulated by exact insertion (triangulate.py); a single group, the labels
+of one map, is one task. Null is a group like any other. Points without id or without finite coordinates take no
+part; of points at one place the one of least id stands for all.
 """
 
 from __future__ import annotations
@@ -11,119 +10,69 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewise.functions.geometry import bearing, planar_distance
+from placewise.operators.triangulate import Triangulation
 
-DENSE = 600
-
-
-def _dense_edges(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    n, found = len(x), []
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        dx, dy = (x[j] - x[i])[:, None], (y[j] - y[i])[:, None]
-        cross = dx * (y[None, :] - y[i]) - dy * (x[None, :] - x[i])
-        dot = (x[i] - x[None, :]) * (x[j][:, None] - x[None, :]) + (y[i] - y[None, :]) * (y[j][:, None] - y[None, :])
-        others = np.ones_like(cross, bool)
-        others[:, i] = False
-        others[np.arange(len(j)), j] = False
-        between = (others & (cross == 0) & (dot < 0)).any(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            left = np.where(others & (cross > 0), dot / cross, np.inf).min(axis=1)
-            right = np.where(others & (cross < 0), -dot / cross, np.inf).min(axis=1)
-        keep = ~between & (np.isinf(left) | np.isinf(right) | (left + right > 0))
-        found += [(i, int(b)) for b in j[keep]]
-    return found
-
-
-def _inserted_edges(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    n = len(x)
-    scale = max(np.ptp(x), np.ptp(y), 1e-12)
-    px, py = (x - x.mean()) / scale, (y - y.mean()) / scale
-    far = 1e4
-    px, py = np.append(px, [-far, far, 0.0]), np.append(py, [-far, -far, far])
-    tri = np.zeros((4 * n + 16, 3), np.int64)
-    circle = np.zeros((4 * n + 16, 3))
-    live = np.zeros(4 * n + 16, bool)
-    free: list[int] = list(range(len(live) - 1, -1, -1))
-
-    def add(a: int, b: int, c: int) -> None:
-        k = free.pop()
-        bx, by, cx, cy = px[b] - px[a], py[b] - py[a], px[c] - px[a], py[c] - py[a]
-        d = 2 * (bx * cy - by * cx)
-        ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
-        tri[k], circle[k], live[k] = (a, b, c), (px[a] + ux, py[a] + uy, ux * ux + uy * uy), True
-
-    add(n, n + 1, n + 2)
-    for p in np.random.default_rng(1).permutation(n):
-        hit = np.flatnonzero(live & ((circle[:, 0] - px[p]) ** 2 + (circle[:, 1] - py[p]) ** 2 < circle[:, 2]))
-        rim: dict[tuple[int, int], tuple[int, int]] = {}
-        for k in hit:
-            a, b, c = (int(v) for v in tri[k])
-            for e in ((a, b), (b, c), (c, a)):
-                name = (min(e), max(e))
-                if rim.pop(name, None) is None:
-                    rim[name] = e
-            live[k] = False
-            free.append(int(k))
-        for a, b in rim.values():
-            if (px[b] - px[a]) * (py[p] - py[a]) != (py[b] - py[a]) * (px[p] - px[a]):
-                add(a, b, int(p))
-    edges = {(min(a, b), max(a, b)) for t in tri[live] for a, b in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])) if a < n and b < n}
-    return sorted((int(a), int(b)) for a, b in edges)
+
+def finite(x: Column) -> Column:
+    """Neither null, NaN nor infinite."""
+    return F.coalesce(F.abs(x) < float("inf"), F.lit(False))
+
+
+def spots_of(points: DataFrame, id: str, x: str, y: str, by: Sequence[str]) -> DataFrame:
+    """by..., id, x, y of the points that take part."""
+    kept = points.where(finite(F.col(x).cast("double")) & finite(F.col(y).cast("double")) & F.col(id).isNotNull())
+    # -0.0 and 0.0 are one place
+    return kept.select(*by, F.col(id).alias("id"), (F.col(x).cast("double") + 0.0).alias("x"), (F.col(y).cast("double") + 0.0).alias("y"))
+
+
+def _grouped(points: DataFrame, id: str, x: str, y: str, by: Sequence[str], wanted, corners: Sequence[str]) -> DataFrame:
+    """For each group the index tuples that `wanted` takes from its triangulation, as ids under the names of corners, and their x and y."""
+    kept = spots_of(points, id, x, y, by)
+
+    def made(key: tuple, part: pa.Table) -> pa.Table:
+        part = part.take(pc.sort_indices(part["id"]))
+        px, py = part["x"].to_numpy(), part["y"].to_numpy()
+        _, first = np.unique(np.stack((px, py), axis=1), axis=0, return_index=True)
+        first.sort()
+        found = np.array(wanted(Triangulation(px[first], py[first])), np.int64).reshape(-1, len(corners))
+        rows = first[found] if len(found) else found
+        out = [pa.array([k.as_py()] * len(rows), k.type) for k in key]
+        for name in ("id", "x", "y"):
+            column = part[name].combine_chunks()
+            out += [column.take(pa.array(rows[:, i])) for i in range(len(corners))]
+        return pa.table(out, names=[*by, *corners, *[f"{c}{k}" for c in "xy" for k in corners]])
+
+    kind = dict(kept.dtypes)
+    schema = [*[f"`{k}` {kind[k]}" for k in by], *[f"`{k}` {kind['id']}" for k in corners], *[f"`{c}{k}` double" for c in "xy" for k in corners]]
+    return kept.groupBy(*by).applyInArrow(made, ", ".join(schema))
 
 
 def delaunay_edges(points: DataFrame, id: str = "id", x: str = "x", y: str = "y", by: Sequence[str] = ("g",)) -> DataFrame:
     """Undirected edges of each group: by..., i, j with i < j in the order of ids.
 
-    Points need distinct coordinates. Points without finite coordinates take no part. On co-circular points the
-    diagonals that a triangulation would choose among are left out.
+    Of points on one circle, as far as the rounding of their coordinates tells, the diagonals that a triangulation
+    would choose among are left out, at every size of a group.
     """
-    names = list(by)
-    good = points.where(points[x].isNotNull() & points[y].isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    kept = good.select(*names, F.col(id).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-
-    def edges(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id", ignore_index=True)
-        px, py, ids = part.x.to_numpy(), part.y.to_numpy(), part.id.to_numpy()
-        pairs = _dense_edges(px, py) if len(part) <= DENSE else _inserted_edges(px, py)
-        out = pd.DataFrame({k: [part[k].iloc[0]] * len(pairs) for k in names})
-        out["i"], out["j"] = ids[[a for a, _ in pairs]] if pairs else ids[:0], ids[[b for _, b in pairs]] if pairs else ids[:0]
-        return out
+    return _grouped(points, id, x, y, by, Triangulation.edges, ("i", "j")).select(*by, "i", "j")
 
-    kind = dict(kept.dtypes)
-    schema = ", ".join([*[f"`{k}` {kind[k]}" for k in names], f"i {kind['id']}", f"j {kind['id']}"])
-    return kept.groupBy(*names).applyInPandas(edges, schema)
+
+def delaunay_triangles(points: DataFrame, id: str = "id", x: str = "x", y: str = "y", by: Sequence[str] = ("g",)) -> DataFrame:
+    """Triangles between the edges of each group: by..., i < j < k."""
+    return _grouped(points, id, x, y, by, Triangulation.triangles, ("i", "j", "k")).select(*by, "i", "j", "k")
 
 
 def neighbours(points: DataFrame, id: str = "id", x: str = "x", y: str = "y", by: Sequence[str] = ("g",)) -> DataFrame:
     """Each point's Delaunay neighbours: by..., i, j, d (planar distance), ang (bearing from i to j), rn (rank by d, then j)."""
-    edges = delaunay_edges(points, id, x, y, by)
-    both = edges.unionByName(edges.select(*by, F.col("j").alias("i"), F.col("i").alias("j")))
-    at = lambda n: points.select(*by, F.col(id).alias(n), F.col(x).cast("double").alias(f"x{n}"), F.col(y).cast("double").alias(f"y{n}"))
-    joined = both.join(at("i"), [*by, "i"]).join(at("j"), [*by, "j"])
+    edges = _grouped(points, id, x, y, by, Triangulation.edges, ("i", "j"))
+    end = lambda a, b: F.struct(*[F.col(c.format(a=a, b=b)).alias(n) for c, n in (("{a}", "i"), ("{b}", "j"), ("x{a}", "xi"), ("y{a}", "yi"), ("x{b}", "xj"), ("y{b}", "yj"))])
+    both = edges.select(*by, F.explode(F.array(end("i", "j"), end("j", "i"))).alias("_e")).select(*by, "_e.*")
     ends = [F.col(c) for c in ("xi", "yi", "xj", "yj")]
-    out = joined.withColumns({"d": planar_distance(*ends), "ang": bearing(*ends)})
+    out = both.withColumns({"d": planar_distance(*ends), "ang": bearing(*ends)})
     rank = F.row_number().over(Window.partitionBy(*by, "i").orderBy("d", "j"))
     return out.withColumn("rn", rank).select(*by, "i", "j", "d", "ang", "rn")
-
-
-def delaunay_triangles(points: DataFrame, id: str = "id", x: str = "x", y: str = "y", by: Sequence[str] = ("g",)) -> DataFrame:
-    """Triangles of each group: by..., i < j < k. Three edges bound a triangle if no other point lies within."""
-    names = list(by)
-    edges = delaunay_edges(points, id, x, y, by)
-    second = edges.select(*names, "i", F.col("j").alias("k"))
-    third = edges.select(*names, F.col("i").alias("j"), F.col("j").alias("k"))
-    closed = edges.join(second, [*names, "i"]).where("j < k").join(third, [*names, "j", "k"])
-    at = lambda n: points.select(*names, F.col(id).alias(n), F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias(f"p{n}"))
-    located = closed.join(at("i"), [*names, "i"]).join(at("j"), [*names, "j"]).join(at("k"), [*names, "k"])
-    # three edges around a point: that point is a neighbour of all three corners
-    both = edges.unionByName(edges.select(*names, F.col("j").alias("i"), F.col("i").alias("j")))
-    inner = both.select(*names, "i", F.col("j").alias("q")).join(at("q"), [*names, "q"])
-    side = lambda a, b: F.signum((F.col(f"{b}.x") - F.col(f"{a}.x")) * (F.col("pq.y") - F.col(f"{a}.y")) - (F.col(f"{b}.y") - F.col(f"{a}.y")) * (F.col("pq.x") - F.col(f"{a}.x")))
-    within = (F.col("q") != F.col("j")) & (F.col("q") != F.col("k")) & (side("pi", "pj") == side("pj", "pk")) & (side("pj", "pk") == side("pk", "pi"))
-    filled = located.join(inner, [*names, "i"]).where(within).select(*names, "i", "j", "k").distinct()
-    return closed.select(*names, "i", "j", "k").join(filled, [*names, "i", "j", "k"], "left_anti")

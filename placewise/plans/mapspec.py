@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from placewise.functions.geometry import CUS_LIMITS, REGIONS, US_LIMITS, bbox_in_bbox, box
 from placewise.operators.bbox import LIMITS, extent
 
+# How far a map reaches beyond its points, and up to which span of latitudes it has roads.
 XEXPAND, YEXPAND, ROAD_SPAN = 0.3, 0.1, 2.5
 
 
@@ -22,6 +23,7 @@ def _with_layers(df: DataFrame, countries: Column, states: Column, roads: bool,
     short = F.lit(bool(roads)) & (F.abs(F.col("ymax") - F.col("ymin")) <= F.lit(float(road_span)))
     # state borders step back where country borders are drawn over them
     both = countries & states
+    # fixed values: names and styles of the layers
     wanted = [
         F.when(short, _layer("NHS Roads", "grey", 0.5, 0.5, "solid")),
         F.when(states, _layer("US State Borders", "blue", 0.75, F.when(both, 0.5).otherwise(1.0), F.when(both, "dash").otherwise("solid"))),
@@ -44,11 +46,9 @@ def map_spec(points: DataFrame, x: str = "LON", y: str = "LAT", by: Sequence[str
 
     State borders are drawn where the raw box lies in the continental U.S., country borders elsewhere; with
     us_borders_abroad both where it lies in the U.S. box. Roads are drawn up to a latitude span of the final
-    limits. Groups of fewer than two points have no plan.
+    limits. Groups of fewer than two points have no plan; null is a group like any other.
     """
-    box_ = extent(points.withColumn("_one", F.lit(1)), x, y, by, xexpand, yexpand)
-    enough = points.groupBy(*by).agg(F.count("*").alias("_n"))
-    box_ = box_.join(enough, list(by)) if by else box_.withColumn("_n", F.lit(points.limit(2).count()))
+    box_ = extent(points, x, y, by, xexpand, yexpand, also={"_n": F.count("*")})
     raw = box(**{n: F.col(f"raw_{n}") for n in LIMITS})
     home = F.coalesce(bbox_in_bbox(raw, CUS_LIMITS), F.lit(False))
     states = home | F.coalesce(bbox_in_bbox(raw, US_LIMITS), F.lit(False)) if us_borders_abroad else home

@@ -17,6 +17,7 @@ from placewise.operators import labels, neighbors, polylines, rollup
 from placewise.operators.bbox import extent
 from placewise.plans.mapspec import layer_rows, map_spec, region_spec
 from placewise.sources.catalog import column_table
+from placewise.sources.raw import assemble
 
 Query = Callable[[SparkSession, str], DataFrame]
 SYMBOLS = list(STATE_FIPS)
@@ -49,10 +50,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def geo_customer(spark: SparkSession, sf_dir: str, continental: bool = False) -> DataFrame:
     """Customers as places; continental: all within the continental U.S. box."""
+    return as_places(read(spark, sf_dir, "customer"), continental)
+
+
+def as_places(customers: DataFrame, continental: bool = False) -> DataFrame:
     a, b, c, d = (60001, 125, 26001, 24) if continental else (360001, 180, 180001, -90)
     key = F.col("c_custkey")
     symbols = F.array(*map(F.lit, SYMBOLS))
-    return read(spark, sf_dir, "customer").select(
+    return customers.select(
         key.alias("id"), F.col("c_name").alias("NAME"), F.element_at(symbols, (key % len(SYMBOLS) + 1).cast("int")).alias("ST"),
         (((key * 104729) % c).cast("double") / F.lit(1e3) + F.lit(float(d))).alias("LAT"), (((key * 7919) % a).cast("double") / F.lit(1e3) - F.lit(float(b))).alias("LON"),
         F.abs(F.col("c_acctbal").cast("bigint")).alias("POP"), (key % 1000).cast("double").alias("ALAND"), (key % 10).cast("double").alias("AWATER"),
@@ -353,9 +358,9 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.withColumns({"LAT": F.round("LAT", 6), "LON": F.round("LON", 6)})
 
 
-@_query(f"WITH {_geo()} SELECT CAST(id // 100 AS INT) AS ZCTA3, {_CENTRE}, {_SUMS} FROM geo GROUP BY 1")
+@_query(f"WITH {_geo()} SELECT *, LON BETWEEN -125 AND -65 AND LAT BETWEEN 24 AND 50 AS ISCUS FROM (SELECT CAST(id // 100 AS INT) AS ZCTA3, {_CENTRE}, {_SUMS} FROM geo GROUP BY 1)")
 def zcta3_rollup(spark, d):
-    return _rounded(rollup.zcta3(geo_customer(spark, d).withColumnRenamed("id", "ZCTA5"))).drop("ISCUS")
+    return _rounded(rollup.zcta3(geo_customer(spark, d).withColumnRenamed("id", "ZCTA5")))
 
 
 _CBSA = f"cbsa AS (SELECT nation AS CBSA, coalesce(sum(LAT * POP) / nullif(sum(POP), 0), avg(LAT)) AS LAT, coalesce(sum(LON * POP) / nullif(sum(POP), 0), avg(LON)) AS LON, {_SUMS} FROM geo GROUP BY 1)"
@@ -378,11 +383,12 @@ def csa_rollup(spark, d):
     return _rounded(rollup.csa(_cbsa(spark, d).drop("NAME"), names)).select("CSA", "NAME", "LAT", "LON", "POP", "ALAND", "AWATER")
 
 
-@_query(f"WITH {_geo()}, o AS (SELECT o_custkey AS id, count(*) AS orders FROM orders GROUP BY 1) SELECT id, NAME, LAT, LON, coalesce(orders, 0) AS orders, CASE WHEN nation < 20 THEN CAST(nation AS VARCHAR) END AS CBSA FROM geo LEFT JOIN o USING (id)")
+@_query(f"WITH {_geo()}, o AS (SELECT o_custkey AS id, count(*) AS orders FROM orders GROUP BY 1) SELECT id, NAME, LAT, LON, orders, CASE WHEN nation < 20 THEN nation END AS CBSA, LON BETWEEN -125 AND -65 AND LAT BETWEEN 24 AND 50 AS ISCUS FROM geo JOIN o USING (id)")
 def county_assemble(spark, d):
+    places = geo_customer(spark, d)
     population = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("orders"))
-    members = read(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("nation"), F.col("n_nationkey").alias("CBSA"))
-    return geo_customer(spark, d).select("id", "NAME", "LAT", "LON", "nation").join(population, "id", "left").join(members, "nation", "left").select("id", "NAME", "LAT", "LON", F.coalesce("orders", F.lit(0)).alias("orders"), F.col("CBSA").cast("string").alias("CBSA"))
+    members = places.where("nation < 20").select("id", F.col("nation").alias("CBSA"))
+    return assemble(places.select("id", "NAME", "LAT", "LON"), population, ["id"], members, flag=True)
 
 
 # ---- polylines
@@ -405,10 +411,13 @@ def polyline_clip(spark, d):
     return polylines.clip(polylines.split_parts(_lines(spark, d)), geo.US_LIMITS)
 
 
-@_query(f"WITH {_PTS}, chosen AS (SELECT g, id, x * 10 - 95 AS x, y * 5 + 37 AS y FROM pts WHERE g < 5), {_boxes('0.3e0', '0.1e0', 'chosen', 'x', 'y', 'g')}, {_PLAN}, placed AS ({_LABELS}) SELECT g, id, halign, valign, hoffset, voffset, round(xmin, 6) AS xmin, round(xmax, 6) AS xmax, round(ymin, 6) AS ymin, round(ymax, 6) AS ymax, country_borders, us_borders, roads FROM placed JOIN plan USING (g)")
+@_query(f"WITH {_PTS}, chosen AS (SELECT g, id, x * 10 - 95 AS x, y * 5 + 37 AS y FROM pts), {_boxes('0.3e0', '0.1e0', 'chosen', 'x', 'y', 'g')}, {_PLAN}, placed AS ({_LABELS}) SELECT g, id, halign, valign, hoffset, voffset, round(xmin, 6) AS xmin, round(xmax, 6) AS xmax, round(ymin, 6) AS ymin, round(ymax, 6) AS ymax, country_borders, us_borders, roads FROM placed JOIN plan USING (g)")
 def labelled_maps(spark, d):
-    """The flagship: choose places, plan a map for each group, and place its labels."""
-    chosen = points2d(spark, d).where("g < 5")
+    """The flagship: plan a map for each group of places, and place its labels."""
+    chosen = points2d(spark, d)
     spec = map_spec(chosen.select("g", (F.col("x") * 10 - 95).alias("x"), (F.col("y") * 5 + 37).alias("y")), "x", "y", by=["g"])
     plan = spec.select("g", *[F.round(c, 6).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")], "country_borders", "us_borders", "roads")
     return labels.place_labels(chosen).join(plan, "g")
+
+
+from placewise.plans import more_queries as _more  # noqa: E402, F401  adds its queries to these

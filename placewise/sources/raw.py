@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewise.functions.geometry import is_continental
@@ -37,16 +37,20 @@ def assemble(areas: DataFrame, population: DataFrame, keys: list[str], membershi
 
 
 def read_geojson_lines(spark: SparkSession, path: str, layer: str) -> DataFrame:
-    """Vertices of the LineString, MultiLineString, Polygon and MultiPolygon features of a GeoJSON file as a polyline layer."""
+    """Vertices of the LineString, MultiLineString, Polygon and MultiPolygon features of a GeoJSON file as a polyline layer.
+
+    Parts are numbered in the order of the file, which is one JSON value and so one task's to read; its parts are
+    dealt to all tasks before their vertices come apart.
+    """
     schema = "features array<struct<geometry: struct<type: string, coordinates: string>>>"
-    features = spark.read.json(path, multiLine=True, schema=schema).select(F.posexplode("features").alias("feature", "f"))
-    kind, raw = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
-    line = F.from_json(raw, "array<array<double>>")
-    lines = F.from_json(raw, "array<array<array<double>>>")
-    many = F.flatten(F.from_json(raw, "array<array<array<array<double>>>>"))
-    parts = F.when(kind == "LineString", F.array(line)).when(kind.isin("MultiLineString", "Polygon"), lines).when(kind == "MultiPolygon", many)
-    rows = features.select("feature", F.posexplode(parts).alias("part", "points"))
-    # parts of a feature are few; features are numbered by their place in the file
-    first = rows.groupBy("feature").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("feature")) - F.col("n")).select("feature", "before")
-    numbered = rows.join(F.broadcast(first), "feature").withColumn("part_id", (F.col("before") + F.col("part")).cast("int"))
-    return numbered.select(F.lit(layer).alias("layer"), "part_id", F.posexplode("points").alias("seq", "p")).select("layer", "part_id", "seq", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))
+
+    def parts(feature: Column) -> Column:
+        kind, raw = feature["geometry"]["type"], feature["geometry"]["coordinates"]
+        lines = F.when(kind == "LineString", F.array(F.from_json(raw, "array<array<double>>")))
+        lines = lines.when(kind.isin("MultiLineString", "Polygon"), F.from_json(raw, "array<array<array<double>>>"))
+        lines = lines.when(kind == "MultiPolygon", F.flatten(F.from_json(raw, "array<array<array<array<double>>>>")))
+        return F.coalesce(lines, F.array().cast("array<array<array<double>>>"))
+
+    every = spark.read.json(path, multiLine=True, schema=schema).select(F.posexplode(F.flatten(F.transform("features", parts))).alias("part_id", "points"))
+    vertices = every.repartition("part_id").select("part_id", F.posexplode("points").alias("seq", "p"))
+    return vertices.select(F.lit(layer).alias("layer"), "part_id", "seq", F.col("p")[0].alias("lon"), F.col("p")[1].alias("lat"))

@@ -6,7 +6,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from placewise.functions.geometry import mercator
 from placewise.operators import polylines, rollup
+from placewise.operators.boxes import points_in_boxes
 from placewise.plans import render
 from placewise.plans.mapspec import region_spec
 from placewise.sources import catalog, raw
@@ -72,6 +74,44 @@ def test_polyline_parts(spark):
     assert [r.seq for r in polylines.clip(parts, ((-125, -65), (24, 50))).collect()] == [3]
 
 
+def test_long_layers_are_numbered_in_blocks(spark):
+    rows = [(None if k % 3 == 0 else "a", k, math.nan if k % 7 == 0 else float(k), None if k % 11 == 0 else 1.0) for k in range(200)]
+    v = spark.createDataFrame(rows, "layer string, seq int, lon double, lat double")
+    want, part = [], {}
+    for layer, k, lon, lat in rows:
+        if math.isnan(lon) or lat is None:
+            part[layer] = part.get(layer, 0) + 1
+        else:
+            want.append((k, part.get(layer, 0)))
+    for block in (8, 1 << 16):
+        assert sorted((r.seq, r.part_id) for r in polylines.split_parts(v, block=block).collect()) == sorted(want)
+
+
+def test_lines_are_cut_at_the_limits(spark):
+    # leaves and comes back, crosses with both ends outside, touches a corner, lies on a side, a lone vertex
+    lines = {0: [(1, 1), (1, 5), (2, 5), (2, 1)], 1: [(-1, 1), (4, 1)], 2: [(-1, 1), (1, -1)], 3: [(0, 0), (0, 3)], 4: [(1, 1)], 5: [(5, 5), (6, 6)], 6: [(1, 1), (3, 3), (1, 2)]}
+    rows = [("a", p, i, float(x), float(y)) for p, line in lines.items() for i, (x, y) in enumerate(line)]
+    got = polylines.clip_lines(spark.createDataFrame(rows, "layer string, part_id int, seq int, lon double, lat double"), ((0, 3), (0, 3))).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r.part_id, r.piece, r.seq)):
+        found.setdefault((r.part_id, r.piece), []).append((r.lon, r.lat))
+    assert found == {(0, 0): [(1, 1), (1, 3)], (0, 1): [(2, 3), (2, 1)], (1, 0): [(0, 1), (3, 1)], (3, 0): [(0, 0), (0, 3)], (6, 0): [(1, 1), (3, 3), (1, 2)]}
+
+
+def test_points_in_a_table_of_boxes(spark):
+    points = [(i, float(i * 37 % 400 - 200), float(i * 53 % 200 - 100)) for i in range(300)] + [(900, math.nan, 0.0), (901, None, 0.0), (902, math.inf, 0.0)]
+    table = [("all", -1e9, 1e9, -1e9, 1e9), ("small", -3.0, 4.0, -3.0, 4.0), ("none", 5.0, -5.0, 0.0, 1.0), ("nan", 0.0, math.nan, 0.0, 1.0), (None, 10.0, 30.0, -90.0, 90.0), ("open", None, 1.0, 0.0, 1.0)]
+    got = points_in_boxes(spark.createDataFrame(points, "id int, LON double, LAT double"), spark.createDataFrame(table, "box string, xmin double, xmax double, ymin double, ymax double"))
+    want = [(i, b) for i, x, y in points if x is not None and math.isfinite(x) for b, x0, x1, y0, y1 in table if x0 is not None and x0 <= x <= x1 and y0 <= y <= y1]
+    assert sorted(((r.id, r.box) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_mercator(spark):
+    m = spark.createDataFrame([(0.0, 0.0), (180.0, 45.0)], "lon double, lat double").select(mercator(F.col("lon"), F.col("lat")).alias("m")).collect()
+    assert abs(m[0].m.x) < 1e-6 and abs(m[0].m.y) < 1e-6
+    assert m[1].m.x == pytest.approx(20037508.342789244) and m[1].m.y == pytest.approx(5621521.486192066)
+
+
 def test_render(spark):
     spec = region_spec(spark, "US").first().asDict(recursive=True)
     out = render.svg(spec, {"Country Borders": [[(-100, 30), (-90, 40)]]}, [{"lon": -80, "lat": 35, "name": "A & B", "halign": "right", "valign": "top"}], "T")
