@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from placewise.sources.scratch import shared_dir
+
 #: A word, as every operator here counts it: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,15 +30,12 @@ def fold(doc_id: str | Column, k: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(k)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
-    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not set_to:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        set_to = tempfile.mkdtemp(prefix="placewise-")
-        spark.conf.set("spark.checkpoint.dir", set_to)
-    return set_to
+def fresh(name: str, columns: Sequence[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def save(df: DataFrame) -> DataFrame:
@@ -104,7 +102,6 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word in data, and the number of words of each row."""
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    step = np.empty(len(data) + 1, bool)
     before = np.concatenate(([False], inside[:-1])) if len(data) else np.zeros(0, bool)
     cut = bounds[:-1][bounds[:-1] < len(data)]
     before[cut] = False  # a row's first byte never continues the row before it
@@ -113,7 +110,6 @@ def word_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     ends_at = bounds[1:][bounds[1:] > 0] - 1
     after[ends_at] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    del step
     return starts, ends, np.diff(np.searchsorted(starts, bounds))
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placewise.llm.common import STEP_BYTES, fold, least_hashed, table
+from placewise.llm.common import STEP_BYTES, fold, fresh, least_hashed, table
 
 ORDERS = (1, 2, 3)
 #: Hashed features of each order.
@@ -215,8 +215,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     lang[i], score[i] = UNKNOWN, 0.0
             yield pd.DataFrame({"lang": lang, "score": np.clip(score, 0, 1)})
 
-    out = docs.withColumn("_judged", judged(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_judged.lang"), "score": F.col("_judged.score")}).drop("_judged")
+    name = fresh("_judged", docs.columns)
+    out = docs.withColumn(name, judged(F.col(text)))
+    return out.withColumns({"lang_pred": F.col(name)["lang"], "score": F.col(name)["score"]}).drop(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

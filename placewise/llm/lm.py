@@ -2,16 +2,17 @@
 
 Words are counted over all training documents. The TOP most frequent ones are dealt into CLASSES classes by
 exchange clustering (each word moves to the class that raises the likelihood of class bigrams most). Every other word
-of PLACED_FROM occurrences or more is then placed into the class that makes its own neighbours likeliest; the counts of
-a word's neighbours by class are added up by word, so that the vocabulary grows with the corpus. A rarer word belongs
-to the class of its count's band (1, 2, 3-4, ...), the end token has a class of its own.
+of PLACED_FROM occurrences or more, however large the vocabulary, is then placed into the class that makes its own neighbours likeliest; the counts of
+a word's neighbours by class are added up by word, so that the vocabulary grows with the corpus. Words seen once, whose
+single neighbours say little, share a class (the band of their count), the end token has a class of its own.
 P(w | before) = P(class of w | class before) * P(w | its class); transitions are smoothed towards the classes'
 own shares, emissions by add-one. Unknown words share one class, whose probability is split off that of the
 words seen once by the Good-Turing ratio. All counts, of words and of neighbouring symbols, cover all training
 documents.
 
-Documents are dealt into groups of about GROUP_BYTES. A group's distinct words meet the corpus counts in one
-shuffle and come back to the group, so that no task holds the whole vocabulary.
+Documents form groups of about GROUP_BYTES where they lie. Each group's distinct words are counted there; corpus counts
+are sums of these, combined before the shuffle. They come back to the groups by a join, so that no task holds the
+whole vocabulary; the HOT words of most groups, which would meet in one task there, are known to all tasks instead.
 """
 
 from __future__ import annotations
@@ -22,20 +23,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm.common import compressed, fold, lower_ascii, save, steps, table, utf8, word_bounds, word_hashes
+from placewise.llm.common import compressed, fold, forget, lower_ascii, save, steps, table, utf8, word_bounds, word_hashes
 
 TOP, CLASSES, SWEEPS = 1024, 48, 4
 #: Bands of counts: 1, 2, 3-4, ... up to 2**(BANDS - 1) and more.
 BANDS = 40
-GROUP_BYTES = 8 << 20
+#: Bytes of text of a group, and what a row adds to them; groups that a task works on.
+GROUP_BYTES, ROW_BYTES, TASK_GROUPS = 8 << 20, 64, 8
+#: The words of most groups, whose counts and classes every task knows, and the parts that their neighbours are added up in first.
+HOT, SALTS = 1 << 16, 64
 #: Pseudo-counts with which a class's own share weighs in its transitions.
 SMOOTHING = 20.0
 END, UNKNOWN, SYMBOLS = TOP + BANDS, TOP + BANDS + 1, TOP + BANDS + 2
 #: Words from this count on are placed by their neighbours; those of a class share a symbol, SYMBOLS + class.
-PLACED_FROM = 4
+PLACED_FROM = 2
 CODES = SYMBOLS + CLASSES
 #: What the bytes of a word's neighbours are: a class of the TOP words, another word or the end; RIGHT is added for those after it.
 OTHER_SIDE, END_SIDE, RIGHT = CLASSES, CLASSES + 1, 64
@@ -49,10 +54,23 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.
         yield i, j, word_hashes(part, starts, ends).view(np.int64), n
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns: keys, then the text; texts are compressed one by one."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], compressed(batch.column(3))], ["doc_id", "grp", "learn", "z"])
+def _packed(group_bytes: int):
+    """Columns doc_id, learn and text; a group number is added. A task's rows in turn, about group_bytes of them, are a group;
+    texts are compressed one by one."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            _, bounds = utf8(batch.column(2))
+            grp = np.zeros(batch.num_rows, np.int64)
+            for i, size in enumerate(np.diff(bounds).tolist()):
+                if held and held + size > group_bytes:
+                    number, held = number + 1, 0
+                held += size + ROW_BYTES
+                grp[i] = number
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grp), compressed(batch.column(2))], ["doc_id", "learn", "grp", "z"])
+
+    return pack
 
 
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +79,15 @@ def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batches' runs of rows of one group: its number and the rows."""
+    for batch in batches:
+        groups = batch.column(by).to_numpy()
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)])) if len(groups) else np.zeros(1, int)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(groups[a]), batch.slice(a, b - a)
+
+
 def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     h, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
     order = np.argsort(h, kind="stable")
@@ -70,28 +97,25 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 def _group_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by grp. Each group's distinct words and how often training documents of the group hold them."""
+    """Columns grp, learn, z. Each group's distinct words and how often training documents of the group hold them."""
     grp, held, kept = None, [], 0
 
     def out() -> pa.RecordBatch:
         h, n = _merge(held)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), grp), pa.int32()), pa.array(h), pa.array(n, pa.int64())], ["grp", "h", "n"])
-
-    for batch in batches:
-        groups = batch.column(1).to_numpy()
-        edges = np.concatenate(([0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)])) if len(groups) else np.zeros(1, int)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if groups[a] != grp:
-                if held:
-                    yield out()
-                grp, held, kept = groups[a], [], 0
-            learn = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False)
-            for i, j, h, n in tokens(*_unpacked(batch.column(3).slice(a, b - a))):
-                held.append((h, np.repeat(learn[i:j].astype(np.int64), n)))
-                kept += len(h)
-                if kept > 2_000_000:
-                    held = [_merge(held)]
-                    kept = len(held[0][0])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), grp, np.int64)), pa.array(h), pa.array(n, pa.int64())], ["grp", "h", "n"])
+
+    for number, rows in _runs(batches, 0):
+        if number != grp:
+            if held:
+                yield out()
+            grp, held, kept = number, [], 0
+        learn = rows.column(1).to_numpy(zero_copy_only=False)
+        for i, j, h, n in tokens(*_unpacked(rows.column(2))):
+            held.append((h, np.repeat(learn[i:j].astype(np.int64), n)))
+            kept += len(h)
+            if kept > 2_000_000:
+                held = [_merge(held)]
+                kept = len(held[0][0])
     if held:
         yield out()
 
@@ -117,7 +141,7 @@ def _top_pairs(top: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
         for batch in batches:
-            for _, _, own, n in tokens(*utf8(batch.column(0))):
+            for _, _, own, n in tokens(*_unpacked(batch.column(0))):
                 place = ranks(own)
                 flat, _ = _ended(np.where(place < 0, TOP, place), n, END)
                 total += np.bincount(flat[:-1] * SYMBOLS + flat[1:], minlength=len(total))
@@ -136,27 +160,38 @@ def _ended(values: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.
     return flat, at
 
 
-def _neighbours(top: np.ndarray, cls: np.ndarray):
-    """For a group's training documents and its words to place: each word's neighbours in the group, two bytes an occurrence."""
-    ranks = _ranks(top)
+def _neighbours(top: np.ndarray, cls: np.ndarray, hot: np.ndarray, hot_places: np.ndarray):
+    """Columns grp, z of training documents. For each word of a group but the top ones: its neighbours in the group, two bytes
+    an occurrence, and a salt: the group's number where the word is hot (of these only where hot_places holds), else -1."""
+    ranks, place = _ranks(top), _ranks(hot)
     sides = np.append(cls[: len(top)], OTHER_SIDE)  # the last one for place -1
-
-    def gather(docs: pa.Table, words: pa.Table) -> pa.Table:
-        h = np.sort(words["h"].to_numpy())
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        if len(h):
-            for _, _, own, n in tokens(*_unpacked(docs["z"].combine_chunks())) if docs.num_rows else ():
-                side, where = _ended(sides[ranks(own)], n, END_SIDE)
-                at = np.minimum(np.searchsorted(h, own), len(h) - 1)
-                mine = h[at] == own
+    wanted = np.append(hot_places, True)
+
+    def out(grp: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        own, near = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        order = np.argsort(own, kind="stable")
+        own, near = own[order], near[order]
+        cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+        bounds = (2 * np.append(cut, len(own))).astype(np.int32)
+        cells = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(near.tobytes())])
+        salt = np.where(place(own[cut]) >= 0, grp % SALTS, -1).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(own[cut]), pa.array(salt), cells], ["h", "salt", "near"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, held = None, []
+        for number, rows in _runs(batches, 0):
+            if number != grp and held:
+                yield out(grp, held)
+                held = []
+            grp = number
+            for _, _, own, n in tokens(*_unpacked(rows.column(1))):
+                rank = ranks(own)
+                side, where = _ended(sides[rank], n, END_SIDE)
+                mine = (rank < 0) & wanted[place(own)]
                 where = where[mine]
-                held.append((at[mine].astype(np.int32), np.stack((side[where - 1], side[where + 1] + RIGHT), axis=1).astype(np.uint8)))
-        at = np.concatenate([x[0] for x in held]) if held else np.zeros(0, np.int32)
-        order = np.argsort(at, kind="stable")
-        data = np.concatenate([x[1] for x in held])[order] if held else np.zeros((0, 2), np.uint8)
-        bounds = np.concatenate(([0], 2 * np.cumsum(np.bincount(at, minlength=len(h))))).astype(np.int32)
-        near = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
-        return pa.table([pa.array(h), near], names=["h", "near"])
+                held.append((own[mine], np.stack((side[where - 1], side[where + 1] + RIGHT), axis=1).astype(np.uint8)))
+        if held:
+            yield out(grp, held)
 
     return gather
 
@@ -176,44 +211,59 @@ def preferences(pairs: np.ndarray, cls: np.ndarray, n_top: int) -> np.ndarray:
 
 
 def _placed(prefer: np.ndarray):
-    """Rows sorted by word: h, near. The likeliest class of each word's neighbours, of equal ones the lowest."""
+    """Rows sorted by h and salt: h, salt, near. The likeliest class of each word's neighbours, of equal ones the lowest; for
+    a salted word the classes' sums instead. Words of fewer than PLACED_FROM occurrences are left out."""
+    size = prefer.shape[1]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, left = None, np.zeros(prefer.shape[1])
+        last: tuple | None = None
+        left, seen = np.zeros(size), 0
 
-        def out(h: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(np.round(scores, 6).argmax(1), pa.int32())], ["h", "k"])
+        def out(h: np.ndarray, salt: np.ndarray, n: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+            keep = (salt >= 0) | (n >= PLACED_FROM)
+            h, salt, scores = h[keep], salt[keep], scores[keep]
+            k = np.where(salt >= 0, -1, _likeliest(scores))
+            sums = [s if x >= 0 else None for s, x in zip(scores, salt, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.int32()), pa.array(sums, pa.list_(pa.float64()))], ["h", "k", "sums"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            h = batch.column(0).to_numpy()
-            data, bounds = utf8(batch.column(1))
-            cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            h, salt = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, bounds = utf8(batch.column(2))
+            cut = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))))
             edges = np.append(bounds[cut], bounds[-1])
-            counts = np.zeros((len(cut), 256))
-            word = np.repeat(np.arange(len(cut)), np.diff(edges))
-            counts = np.bincount(word * 256 + data, minlength=len(cut) * 256).reshape(-1, 256)
-            scores, own = counts @ prefer, h[cut]
-            if own[0] == last:
+            scores, n = np.zeros((len(cut), size)), np.diff(edges) // 2
+            for i in range(0, len(cut), 4096):  # 256 counts of a word
+                j = min(len(cut), i + 4096)
+                word = np.repeat(np.arange(j - i), np.diff(edges[i : j + 1]))
+                scores[i:j] = np.bincount(word * 256 + data[edges[i] : edges[j]], minlength=(j - i) * 256).reshape(-1, 256) @ prefer
+            own_h, own_salt = h[cut], salt[cut]
+            if last == (own_h[0], own_salt[0]):
                 scores[0] += left
+                n[0] += seen
             elif last is not None:
-                yield out(np.array([last]), left[None])
-            last, left = own[-1], scores[-1]
-            if len(own) > 1:
-                yield out(own[:-1], scores[:-1])
+                yield out(np.array([last[0]]), np.array([last[1]]), np.array([seen]), left[None])
+            last, left, seen = (own_h[-1], own_salt[-1]), scores[-1], int(n[-1])
+            if len(cut) > 1:
+                yield out(own_h[:-1], own_salt[:-1], n[:-1], scores[:-1])
         if last is not None:
-            yield out(np.array([last]), left[None])
+            yield out(np.array([last[0]]), np.array([last[1]]), np.array([seen]), left[None])
 
     return place
 
 
-def _code(top: np.ndarray, n_ends: int):
-    """For a group's documents and its words' corpus counts and classes: each document's symbols and sums."""
+def _likeliest(scores: np.ndarray) -> np.ndarray:
+    return np.round(scores, 6).argmax(axis=1).astype(np.int32) if len(scores) else np.zeros(0, np.int32)
+
+
+def _code(top: np.ndarray, n_ends: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """For a group's documents and its words' corpus counts and classes, those of the hot words being known: each document's
+    symbols and sums."""
     ranks = _ranks(top)
 
     def code(docs: pa.Table, words: pa.Table) -> pa.Table:
-        h, c, k = words["h"].to_numpy(), words["c"].to_numpy(), words["k"].to_numpy()
+        h, c, k = (np.concatenate((known, words[name].to_numpy())) for known, name in zip(hot, "hck", strict=True))
         by = np.argsort(h)
         h, c, k = h[by], c[by], k[by]
         band = np.minimum(np.ceil(np.log2(np.maximum(c, 1))).astype(np.int64), BANDS - 1)
@@ -326,8 +376,9 @@ class Model:
         return float(self.step[c[:-1], c[1:]].sum() - self.under[symbols[1:]].sum())
 
 
-def fit(pairs: np.ndarray, types: np.ndarray, n_top: int, cls: np.ndarray | None = None) -> Model:
-    """pairs: counts of neighbouring symbols; types: words of each symbol (0 for the unknown one); cls: their classes, if known."""
+def fit(pairs: np.ndarray, types: np.ndarray, n_top: int, cls: np.ndarray | None = None, twice: int | None = None) -> Model:
+    """pairs: counts of neighbouring symbols; types: words of each symbol (0 for the unknown one); cls: their classes, if
+    known; twice: words beyond the top ones that were seen twice, if their band doesn't say so."""
     cls = exchange(pairs, n_top) if cls is None else cls
     total = int(cls.max()) + 1
     if not pairs.any():  # nothing was learnt: all tokens are the one unknown word
@@ -340,7 +391,7 @@ def fit(pairs: np.ndarray, types: np.ndarray, n_top: int, cls: np.ndarray | None
     share[unknown] = 0
     share = share / share.sum()
     step = (q + SMOOTHING * share[None, :]) / (q.sum(1, keepdims=True) + SMOOTHING)
-    n1, n2 = types[TOP], types[TOP + 1]
+    n1, n2 = types[TOP], types[TOP + 1] if twice is None else twice
     if n1:
         part = (n1 + 1) / (n1 + 2 * n2 + 2)
         step[:, unknown], step[:, once] = step[:, once] * part, step[:, once] * (1 - part)
@@ -361,7 +412,7 @@ def _gathered(pairs: DataFrame, size: int) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def score_documents(docs: DataFrame, may_learn: Column, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, may_learn: Column, group_bytes: int = GROUP_BYTES, hot: int = HOT) -> DataFrame:
     """A row per document: doc_id, learnt, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     A null text is empty: its only token is the end. Without training documents every token is unknown and all
@@ -369,47 +420,56 @@ def score_documents(docs: DataFrame, may_learn: Column, group_bytes: int = GROUP
     an empty result; other columns don't matter.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-size // group_bytes))
     kind = docs.select("doc_id").schema.simpleString()[7:-1]
-    keyed = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)).cast("int").alias("grp"), F.coalesce(may_learn, F.lit(False)).alias("learn"), "text")
-    packed = keyed.mapInArrow(_packed, f"{kind}, grp int, learn boolean, z binary")
-    parts = min(groups, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4)
-    own = packed.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_group_words, "grp int, h long, n long")
-    word = Window.partitionBy("h")
-    counted = save(own.select("grp", "h", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("grp")) == 1).alias("first")))
-    types = counted.where("first AND c > 0")
-    n_ends = docs.where(may_learn).count()
-    sums = types.agg(F.count("*"), F.sum("c")).first()
+    keyed = docs.select("doc_id", F.coalesce(may_learn, F.lit(False)).alias("learn"), "text")
+    packed = save(keyed.mapInArrow(_packed(group_bytes), f"{kind}, learn boolean, grp long, z binary"))
+    learnt = packed.where("learn")
+    own = save(packed.select("grp", "learn", "z").mapInArrow(_group_words, "grp long, h long, n long"))
+    types = save(own.groupBy("h").agg(F.sum("n").alias("c"), F.count("*").alias("groups")))
+    n_ends = learnt.count()
+    sums = types.where("c > 0").agg(F.count("*"), F.sum("c")).first()
     total, distinct = (sums[1] or 0) + n_ends, sums[0] + int(n_ends > 0)
-    top = types.orderBy(F.desc("c"), "h").select("h", "c").limit(TOP).collect()
+    top = types.where("c > 0").orderBy(F.desc("c"), "h").select("h", "c").limit(TOP).collect()
     top_h = np.array([r["h"] for r in top], np.int64)
-    seen = docs.where(may_learn).select("text").mapInArrow(_top_pairs(top_h), "pair int, n long")
+    widespread = types.orderBy(F.desc("groups"), "h").select("h", "c").limit(hot).toPandas()
+    hot_h, hot_c = widespread.h.to_numpy(np.int64), widespread.c.to_numpy(np.int64)
+    seen = learnt.select("z").mapInArrow(_top_pairs(top_h), "pair int, n long")
     pairs = _gathered(seen, SYMBOLS)
     cls = exchange(pairs, len(top))
     # the top words' own classes; what is placed shares them
     cls = np.append(cls, np.minimum(np.arange(CLASSES), max(len(top), 1) - 1))
+    others = types.where(~F.col("h").isin([int(h) for h in top_h]))
     if len(top) == TOP:
-        # grows with the corpus: stays in tables
-        placing = counted.where(F.col("c") >= PLACED_FROM).where(~F.col("h").isin([int(h) for h in top_h])).select("grp", "h")
-        near = packed.where("learn").groupBy("grp").cogroup(placing.groupBy("grp")).applyInArrow(_neighbours(top_h, cls), "h long, near binary")
-        placed = save(near.repartition("h").sortWithinPartitions("h").mapInArrow(_placed(preferences(pairs, cls[:SYMBOLS], len(top))), "h long, k int"))
+        prefer = preferences(pairs, cls[:SYMBOLS], len(top))
+        near = learnt.select("grp", "z").mapInArrow(_neighbours(top_h, cls, hot_h, hot_c >= PLACED_FROM), "h long, salt int, near binary")
+        by_word = near.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_placed(prefer), "h long, k int, sums array<double>")
+        parts = save(by_word)  # a row for each word, or SALTS of a hot one
+        added = parts.where("k < 0").groupBy("h").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(prefer.shape[1])]).toPandas()
+        hot_k = dict(zip(added.h.tolist(), _likeliest(added.drop(columns="h").to_numpy()).tolist(), strict=True))
+        placed = parts.where("k >= 0").select("h", "k")
     else:  # all words are among the top ones
-        placed = types.select("h", F.lit(0).alias("k")).limit(0)
-    words = counted.select("grp", "h", "c").join(placed, "h", "left").select("grp", "h", "c", F.coalesce("k", F.lit(-1)).alias("k"))
+        hot_k, placed, parts = {}, types.select("h", F.lit(0).alias("k")).limit(0), None
+    known = (hot_h, hot_c, np.array([hot_k.get(h, -1) for h in hot_h.tolist()], np.int64))
+    held = F.broadcast(spark.createDataFrame(widespread[["h"]], "h long"))  # at most `hot` rows
+    words = own.select("grp", "h").join(held, "h", "left_anti").join(types.select("h", "c").join(placed, "h", "left"), "h")
+    words = words.select("grp", "h", "c", F.coalesce("k", F.lit(-1)).alias("k"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (TASK_GROUPS * group_bytes)))
+    packed_by, words_by = packed.repartition(tasks, "grp"), words.repartition(tasks, "grp")
     schema = f"{kind}, learn boolean, n_tokens long, n_known long, log_sum double, codes binary"
-    coded = save(packed.groupBy("grp").cogroup(words.groupBy("grp")).applyInArrow(_code(top_h, n_ends), schema))
+    coded = save(packed_by.groupBy("grp").cogroup(words_by.groupBy("grp")).applyInArrow(_code(top_h, n_ends, known), schema))
     pairs = _gathered(coded.where("learn").select("codes").mapInArrow(_pairs, "pair int, n long"), CODES)
-    rare = types.where(F.col("c") < PLACED_FROM) if len(top) == TOP else types
-    bands = rare.join(F.broadcast(spark.createDataFrame([(int(h),) for h in top_h], "h long")), "h", "left_anti").groupBy("c").count()
-    band = F.least(F.ceil(F.log2(F.col("c").cast("double"))).cast("int"), F.lit(BANDS - 1))
+    few = {r["c"]: r["count"] for r in others.where(F.col("c").between(1, max(2, PLACED_FROM - 1))).groupBy("c").count().collect()}
     n_types = np.zeros(CODES)
     n_types[: len(top)], n_types[END] = 1, int(n_ends > 0)
-    for r in bands.groupBy(band.alias("band")).agg(F.sum("count").alias("n")).collect():
-        n_types[TOP + r["band"]] = r["n"]
+    for c in range(1, PLACED_FROM):
+        n_types[TOP + int(np.ceil(np.log2(c)))] += few.get(c, 0)
     for r in placed.groupBy("k").count().collect():
         n_types[SYMBOLS + r["k"]] = r["count"]
-    sent = spark.sparkContext.broadcast(fit(pairs, n_types, len(top), cls))
+    np.add.at(n_types, SYMBOLS + np.array(list(hot_k.values()), np.int64), 1)
+    for done in (packed, own, types, *([parts] if parts else [])):
+        forget(done)
+    sent = spark.sparkContext.broadcast(fit(pairs, n_types, len(top), cls, few.get(2, 0)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = zstandard.ZstdDecompressor()

@@ -43,11 +43,9 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """key, source_size -> with target: shares of the total by weight, none above cap times its size, the excess reshared."""
-    one = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(Window.orderBy("key")) - 1) % len(weights) + 1).cast("int"))
     every = Window.partitionBy()
     by_ratio = Window.orderBy("_ratio", "key").rowsBetween(Window.unboundedPreceding, -1)
-    del one
     return (
         sizes.withColumn("_w", weight)
         .withColumn("_cap", F.col("source_size") * F.lit(float(cap)))

@@ -5,8 +5,7 @@ listed keys, level 1 one of level 0's false positives among all other keys of th
 listed keys that level 1 holds by mistake, and so on until a level has no false positive. The levels are
 literals of the plan, so that a lookup is an expression over the row and needs no join. Their size follows
 the list: level 0's error rate is set from the number of distinct keys of the corpus, so that its false
-positives are about as many as the listed keys. Only bit positions of the levels come to the driver, at most
-HASHES times as many as the keys they encode; a list of more than MAX_LISTED keys is refused.
+positives are about as many as the listed keys. Only bit positions of the levels come to the driver, WORD_BITS of them in a row; a list of more than MAX_LISTED keys is refused.
 """
 
 from __future__ import annotations
@@ -18,10 +17,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm.common import LOWER, UPPER, forget, save, table
+from placewise.llm.common import LOWER, UPPER, forget, fresh, save, table
 
 #: Most listed keys: their levels take about 3 bytes a key, so the literals stay within some MB.
 MAX_LISTED = 1_000_000
+#: Bits of a level that come to the driver in one row.
+WORD_BITS = 60
 #: The rules of the registered query: host and path of each key, and what it says.
 RULES = {"allow": ["org/", "com/fr/"], "block": ["example.org/es/", "example.org/en/1", "com/de/"]}
 
@@ -51,10 +52,12 @@ def _holds(key: Column, number: int, level: Level) -> Column:
 def _encode(keys: DataFrame, number: int, n: int, rate: float) -> Level:
     hashes = max(1, min(30, round(-math.log2(rate))))
     bits = max(64, math.ceil(n * -math.log(rate) / math.log(2) ** 2))
-    rows = keys.select(F.explode(_positions(F.col("key"), number, bits, hashes)).alias("at")).distinct().collect()
-    packed = bytearray(b"0" * (bits // 6 + 1))
-    for row in rows:
-        packed[row["at"] // 6] = (packed[row["at"] // 6] - 48 | 1 << row["at"] % 6) + 48
+    at = keys.select(F.explode(_positions(F.col("key"), number, bits, hashes)).alias("at"))
+    words = at.groupBy(F.expr(f"at div {WORD_BITS}").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(at % {WORD_BITS} AS int)))").alias("set"))
+    packed = bytearray(b"0" * ((bits // WORD_BITS + 1) * WORD_BITS // 6))
+    for w, held in words.collect():  # bits / WORD_BITS rows at most
+        for i in range(WORD_BITS // 6):
+            packed[w * WORD_BITS // 6 + i] += held >> 6 * i & 63
     return Level(bits, hashes, bytes(packed))
 
 
@@ -116,6 +119,12 @@ def candidates(host: Column, path: Column, listed: Sequence[str]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*every))) if every else F.array().cast("array<string>")
 
 
+def _as_rows(spark: SparkSession, keys: Sequence[str]) -> DataFrame:
+    """One literal of the plan, taken apart."""
+    every = F.split(F.lit("\0".join(keys)), "\0") if keys else F.array().cast("array<string>")
+    return spark.range(1).select(F.explode(every).alias("key"))
+
+
 def judge_urls(pages: DataFrame, rules: dict[str, Sequence[str]], url: str = "url", default: str = "allow") -> DataFrame:
     """Add host, path, rule and verdict to pages; columns of those names are replaced.
 
@@ -131,18 +140,16 @@ def judge_urls(pages: DataFrame, rules: dict[str, Sequence[str]], url: str = "ur
     pages = pages.withColumns({"host": host, "path": path})
     keys = candidates(F.col("host"), F.col("path"), [k for v in listed.values() for k in v])
     universe = pages.select(keys.alias("keys"))
-    cascade = {v: Cascade.build(universe, "keys", spark.createDataFrame([(k,) for k in ks], "key string")) for v, ks in listed.items()}
+    cascade = {v: Cascade.build(universe, "keys", _as_rows(spark, ks)) for v, ks in listed.items()}
 
     def ranked(k: Column) -> Column:
         return F.struct(F.length(k).alias("n"), F.locate("/", k).alias("h"), cascade["block"].contains(k).alias("block"), k.alias("key"))
 
     fits = F.filter(keys, lambda k: cascade["allow"].contains(k) | cascade["block"].contains(k))
-    best = F.array_max(F.transform(fits, ranked))
-    return (
-        pages.withColumn("_best", best)
-        .withColumns({"rule": F.col("_best.key"), "verdict": F.when(F.col("_best").isNull(), default).otherwise(F.when(F.col("_best.block"), "block").otherwise("allow"))})
-        .drop("_best")
-    )
+    name = fresh("_best", pages.columns)
+    best = F.col(name)
+    verdict = F.when(best.isNull(), default).otherwise(F.when(best["block"], "block").otherwise("allow"))
+    return pages.withColumn(name, F.array_max(F.transform(fits, ranked))).withColumns({"rule": best["key"], "verdict": verdict}).drop(name)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
