@@ -57,6 +57,26 @@ def forget(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: A key of more rows than this, and than one in HOT_KEYS of all rows, is hot; so at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+
+
+def join_hot(rows: DataFrame, counted: DataFrame, key: str, values: Sequence[str], size: Column, total: int, spread: str) -> DataFrame:
+    """rows with the values of their key; those of a key without a row in counted go.
+
+    counted: a row for each key, with the values; size: an expression over it that says how many of all `total` rows
+    have the key. The hot keys' values are broadcast, at most HOT_KEYS rows, and their rows dealt by column `spread`,
+    so that no key's rows meet in one task. key and spread are longs; values aren't null.
+    """
+    hot = counted.where(size > max(HOT_ROWS, total // HOT_KEYS)).select(F.col(key).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
+    rest = counted.select(F.col(key).alias("_at"), *values)
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    dealt = marked.withColumn("_by", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(spread)))
+    met = dealt.join(rest, F.col("_by") == F.col("_at"), "left")
+    known = [F.when(F.col("_hot").isNull(), F.col(v)).otherwise(F.col(f"_hot_{v}")).alias(v) for v in values]
+    return met.where(F.col("_hot").isNotNull() | F.col("_at").isNotNull()).select(*rows.columns, *known)
+
+
 def least_hashed(ids: DataFrame, size: int, salts: int = 256) -> DataFrame:
     """The size rows of least hash of doc_id, the only column: each of salts groups of input partitions chooses first, so
     that the task that chooses last gets salts * size rows at most, however many partitions there are."""

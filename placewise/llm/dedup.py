@@ -8,8 +8,8 @@
    the defaults that is 23 of 60 values; pairs beyond it are found as well where one chunk agrees: a pair of
    similarity 0.75 goes unnoticed with a probability of 6e-6.)
 3. The least representative of a key's holders is their hub. A representative joins the group of each of its
-   hubs, so that every pair sharing a key meets in a group, without a row per pair. In a group of more than BLOCK
-   members those linked with the hub are found first, in blocks; only the rest then meet them and one another,
+   hubs, so that every pair sharing a key meets in a group, without a row per pair. In a group of more than a
+   block's members or shingles those linked with the hub are found first, in blocks; only the rest then meet them and one another,
    every two blocks in a task of their own, of bounded size.
 4. There, intersections of full shingle sets are counted exactly by postings, and linked texts merged; only a
    spanning star of each merged set leaves the task. Components over all stars give the result.
@@ -17,6 +17,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -26,15 +27,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm.common import compressed, mix, save, table, utf8
+from placewise.llm.common import compressed, forget, join_hot, mix, save, table, utf8
 from placewise.llm.graph import components
 from placewise.llm.shingles import permutations, shingle_sets, signature
 
 CHUNKS, WIDTH, ERRORS = 12, 5, 1
 #: Linked from this similarity on, in percent.
 PERCENT = 75
-#: Most members of a block; a task holds the texts of two.
-BLOCK = 256
+#: Most members of a block, and shingles of them, about; a task holds the texts of two.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+#: Shingles whose postings are counted in one step.
+POSTINGS = 4096
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,44 +87,39 @@ def linked_stars(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], cro
     """
     n = len(ids)
     sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
-    by_hash, holders = flat[order], owner[order]
+    by_hash, holders = flat[order], np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
     cut = np.flatnonzero(np.concatenate(([True], by_hash[1:] != by_hash[:-1])))
-    ends = np.append(cut[1:], len(by_hash))
-    group = np.repeat(np.arange(len(cut)), ends - cut)
-    place = np.empty(len(flat), np.int64)
-    place[order] = group
-    shared = (ends - cut) > 1
-    parent = np.arange(n)
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    length = np.diff(np.append(cut, len(by_hash)))
+    place = np.empty(len(flat), np.int32)
+    place[order] = np.repeat(np.arange(len(cut), dtype=np.int32), length)
+    del flat, by_hash, order
     at = np.concatenate(([0], np.cumsum(sizes)))
-    for i in range(n - 1):
-        own = place[at[i] : at[i + 1]]
-        own = own[shared[own]]
-        if not len(own):
+    alone = np.ones(n, bool)  # not merged with any row yet
+    found: list[tuple[int, int]] = []
+    for first in range(n):
+        if not alone[first]:
             continue
-        a, length = cut[own], ends[own] - cut[own]
-        total = int(length.sum())
-        index = np.repeat(a - (np.cumsum(length) - length), length) + np.arange(total)
-        both = np.bincount(holders[index], minlength=n)
-        hit = 100 * both >= PERCENT * (sizes[i] + sizes - both)
-        hit[: i + 1] = False
-        if crossing:
-            hit &= sides != sides[i]
-        for j in np.flatnonzero(hit):
-            x, y = root(i), root(int(j))
-            if x != y:
-                x, y = (x, y) if ids[x] < ids[y] else (y, x)
-                parent[y] = x
-    return [(int(ids[i]), int(ids[root(i)])) for i in range(n) if root(i) != i]
+        alone[first], merged = False, [first]
+        for i in merged:  # grows; each row is held once against those not merged yet
+            if not alone.any():
+                break
+            own = place[at[i] : at[i + 1]]
+            own = own[length[own] > 1]
+            both = np.zeros(n, np.int64)
+            for k in range(0, len(own), POSTINGS):
+                a, m = cut[own[k : k + POSTINGS]], length[own[k : k + POSTINGS]]
+                index = np.repeat(a - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+                both += np.bincount(holders[index], minlength=n)
+            hit = alone & (100 * both >= PERCENT * (sizes[i] + sizes - both))
+            if crossing:
+                hit &= sides != sides[i]
+            alone &= ~hit
+            merged += np.flatnonzero(hit).tolist()
+        least = min(int(ids[i]) for i in merged)
+        found += [(int(ids[i]), least) for i in merged if ids[i] != least]
+    return found
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,34 +148,39 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _edges(member: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges that join up all linked texts of each hub's group. member: hub, rep; verify: edges of tasks (hub, i, j, side, rep).
+def _edges(member: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges that join up all linked texts of each hub's group, and the saved tables they come from.
 
-    A group of at most BLOCK members is one task. In a larger one the members are first held against the hub, in
-    blocks that each get the hub's text; those linked with it are of one component and need not meet each other. The
-    rest are dealt into blocks that meet one another and the blocks of the linked ones.
+    member: hub, rep, n (shingles of rep); verify: edges of tasks (hub, i, j, side, rep). A group that fits a block is
+    one task. In a larger one the members are first held against the hub, in blocks that each get the hub's text; those
+    linked with it are of one component and need not meet each other. The rest are dealt into blocks that meet one
+    another and the blocks of the linked ones.
     """
-    dealt = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.ceil(n / BLOCK), F.lit(1))).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int") - 1)
+    blocks = lambda rows, shingles: F.greatest(F.ceil(rows / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    dealt = lambda b: F.pmod(F.xxhash64("rep"), b).cast("int")
+    upto = lambda b: F.sequence(F.lit(0), b - 1)
     columns = ["rep", "hub", "i", "j", "side"]
-    sized = member.join(member.groupBy("hub").agg(F.count("*").alias("n")), "hub")
-    small = sized.where(F.col("n") <= BLOCK).select("rep", "hub", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
-    large = save(sized.where(F.col("n") > BLOCK))
-    spokes = large.where("rep != hub").select("rep", "hub", F.lit(-1).alias("i"), dealt(F.col("n")).alias("j"), F.lit(1).alias("side"))
-    hubs = large.where("rep = hub").select("rep", "hub", F.lit(-1).alias("i"), F.explode(upto(F.col("n"))).alias("j"), F.lit(0).alias("side"))
+    total = member.count()
+    sizes = member.groupBy("hub").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).withColumn("b", blocks(F.col("rows"), F.col("shingles")))
+    sized = join_hot(member, sizes, "hub", ["b"], F.col("rows"), total, "rep")
+    small = sized.where("b = 1").select("rep", "hub", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    large = save(sized.where("b > 1"))
+    spokes = large.where("rep != hub").select("rep", "hub", F.lit(-1).alias("i"), dealt(F.col("b")).alias("j"), F.lit(1).alias("side"))
+    hubs = large.where("rep = hub").select("rep", "hub", F.lit(-1).alias("i"), F.explode(upto(F.col("b"))).alias("j"), F.lit(0).alias("side"))
     star = save(verify(spokes.unionByName(hubs)))
     near = star.select(F.col("a").alias("rep"), F.col("b").alias("hub"), F.lit(True).alias("linked")).distinct()
     # the hub itself counts as linked
     split = large.join(near, ["hub", "rep"], "left").withColumn("linked", F.coalesce("linked", F.col("rep") == F.col("hub")))
-    counts = split.groupBy("hub").agg(F.count_if("linked").alias("in"), F.count_if(~F.col("linked")).alias("out")).where(F.col("out") > 0)
-    split = split.select("hub", "rep", "linked").join(counts, "hub")
-    shift = F.ceil(F.col("out") / BLOCK).cast("int")
+    weigh = lambda c: (F.count_if(c), F.sum(F.when(c, F.col("n")).otherwise(0)))
+    counts = split.groupBy("hub").agg(F.count("*").alias("rows"), blocks(*weigh(F.col("linked"))).alias("in"), blocks(*weigh(~F.col("linked"))).alias("out"), F.count_if(~F.col("linked")).alias("apart"))
+    split = join_hot(split.select("hub", "rep", "linked"), counts.where("apart > 0"), "hub", ["in", "out"], F.col("rows"), total, "rep")
+    shift = F.col("out")
     rest = split.where(~F.col("linked")).withColumn("own", dealt(F.col("out")))
     apart = rest.withColumn("other", F.explode(upto(F.col("out")))).select("rep", "hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"))
     across = rest.select("rep", "hub", F.col("own").alias("i"), F.explode(F.transform(upto(F.col("in")), lambda x: x + shift)).alias("j"), F.lit(-1).alias("side"))
     inner = split.where("linked").withColumn("j", dealt(F.col("in")) + shift).select("rep", "hub", F.explode(upto(F.col("out"))).alias("i"), "j", F.lit(-2).alias("side"))
     tasks = small.select(columns).unionByName(apart.select(columns)).unionByName(across.select(columns)).unionByName(inner.select(columns))
-    return verify(tasks).unionByName(star)
+    return verify(tasks).unionByName(star), [large, star]
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -192,8 +195,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linkable = sketches.where("n > 0 AND doc_id IS NOT NULL")
     classes = save(linkable.groupBy("n", "h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("least")).select("n", "h1", "h2", F.col("least.doc_id").alias("rep"), F.col("least.sig").alias("sig")))
     keys = classes.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
-    shared = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1").select("key", "hub")
-    member = save(keys.join(shared, "key").select("hub", "rep").distinct())
+    shared = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    total = classes.count() * CHUNKS * math.comb(WIDTH, ERRORS)
+    grouped = join_hot(keys, shared, "key", ["hub"], F.col("m"), total, "rep").select("hub", "rep").distinct()
+    member = save(grouped.join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep").select("hub", "rep", "n"))
     # texts of the members only; both sides grow with the corpus, so they are sorted and merged at every size
     texts = docs.where("doc_id IS NOT NULL").mapInArrow(_packed, "rep long, z binary")
     texts = save(texts.hint("merge").join(member.select("rep").distinct(), "rep"))
@@ -202,7 +207,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         held = tasks.hint("merge").join(texts, "rep").select("hub", "i", "j", "side", "rep", "z")
         return held.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "rep").mapInArrow(_verified, "a long, b long")
 
-    found = components(_edges(member, verify))
+    edges, tables = _edges(member, verify)
+    found = components(edges)
+    for done in (member, texts, *tables):
+        forget(done)
     named = sketches.join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
     named = named.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "rep", "doc_id"))

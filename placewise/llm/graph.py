@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.common import forget, save
+from placewise.llm.common import forget, join_hot, save
 
 MOST_ROUNDS = 60
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """Hang neighbours on the least of a node's neighbourhood: those above the node (large), or those below it and the node itself."""
     if large:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    hung = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    hung = join_hot(both, least, "a", ["m"], F.col("n"), 2 * total, "b")
     if large:
         out = hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -36,7 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = save(edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = _state(now)
     for _ in range(MOST_ROUNDS):
-        before, now = now, save(_star(_star(now, True), False))
+        before, now = now, save(_star(_star(now, True, seen[0]), False, seen[0]))
         forget(before)
         state = _state(now)
         if state == seen:

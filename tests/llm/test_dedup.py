@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placewise.llm import dedup, graph
+from placewise.llm import common, dedup, graph
 from placewise.llm.shingles import permutations, shingle_sets, signature
 
 from .conftest import DATA
@@ -54,6 +54,8 @@ def test_test_table(spark):
 def test_chains_and_blocks(spark, monkeypatch):
     """A chain of texts, each alike the next one only, and a large group dealt into small blocks."""
     monkeypatch.setattr(dedup, "BLOCK", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
     r = np.random.default_rng(0)
     words = [f"w{i}" for i in range(400)]
     chain = [(100 + k, " ".join(words[8 * k : 8 * k + 100])) for k in range(30)]
@@ -116,3 +118,63 @@ def test_gone_rows_name_a_kept_one(spark):
     out = dedup.near_duplicates(spark.read.parquet(f"{DATA}/documents.parquet"))
     kept = out.where("kept").select(F.col("doc_id").alias("component_id"))
     assert out.join(kept, "component_id", "left_anti").count() == 0
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    """Few members with many shingles are dealt into blocks as well."""
+    monkeypatch.setattr(dedup, "BLOCK_SHINGLES", 500)
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(12):
+        own = [f"v{i}" for i in range(300)]
+        for _ in range(int(r.integers(0, 12))):
+            own[int(r.integers(300))] = f"x{k}"
+        rows.append((k, " ".join(own)))
+    assert _got(spark.createDataFrame(rows, "doc_id long, text string")) == _brute(rows)
+
+
+@pytest.mark.parametrize("crossing", [False, True])
+def test_linked_stars_against_every_pair(crossing):
+    r = np.random.default_rng(4)
+    for _ in range(30):
+        n = int(r.integers(2, 30))
+        base = [np.arange(60) + 1000 * k for k in range(3)]
+        sets = [np.unique(np.concatenate((b[r.random(60) < 0.9], r.integers(5000, 9000, 3)))).astype(np.uint64) for b in (base[int(r.integers(3))] for _ in range(n))]
+        ids, sides = r.permutation(100)[:n], r.integers(0, 2, n)
+        parent = list(range(n))
+
+        def root(i, parent=parent):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(n):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both) and not (crossing and sides[i] == sides[j]):
+                    parent[root(i)] = root(j)
+        least = {}
+        for i in range(n):
+            least[root(i)] = min(int(ids[i]), least.get(root(i), 10**9))
+        want = {(int(ids[i]), least[root(i)]) for i in range(n) if ids[i] != least[root(i)]}
+        assert set(dedup.linked_stars(ids, sides, sets, crossing)) == want
+
+
+def test_long_near_copies_need_little():
+    """256 near copies of 20,000 words are one pass over the postings."""
+    import time
+
+    base = np.arange(20_000, dtype=np.uint64)
+    sets = [np.sort(np.append(base[np.arange(20_000) != k], np.uint64(10**6 + k))) for k in range(256)]
+    began = time.perf_counter()
+    assert len(dedup.linked_stars(np.arange(256), np.zeros(256), sets, False)) == 255
+    assert time.perf_counter() - began < 10
+
+
+def test_join_hot(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = spark.range(400).select((F.col("id") % 7).alias("k"), F.col("id").alias("r")).unionByName(spark.sql("SELECT 1000L AS k, 5000L AS r")).unionByName(spark.range(300).select(F.lit(50).cast("long").alias("k"), (F.col("id") + 9000).alias("r")))
+    counted = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("r").alias("least")).where("k != 1000")
+    got = common.join_hot(rows, counted, "k", ["n", "least"], F.col("n"), 100, "r")
+    assert got.columns == ["k", "r", "n", "least"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(counted, "k").collect()))
