@@ -77,12 +77,22 @@ def join_hot(rows: DataFrame, counted: DataFrame, key: str, values: Sequence[str
     return met.where(F.col("_hot").isNotNull() | F.col("_at").isNotNull()).select(*rows.columns, *known)
 
 
-def least_hashed(ids: DataFrame, size: int, salts: int = 256) -> DataFrame:
-    """The size rows of least hash of doc_id, the only column: each of salts groups of input partitions chooses first, so
-    that the task that chooses last gets salts * size rows at most, however many partitions there are."""
-    hashed = ids.select("doc_id", F.xxhash64("doc_id").alias("h"), F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"))
-    place = F.row_number().over(Window.partitionBy("salt").orderBy("h", "doc_id"))
-    return hashed.withColumn("place", place).where(F.col("place") <= size).orderBy("h", "doc_id").limit(size).select("doc_id")
+def least_hashed(ids: DataFrame, size: int) -> DataFrame:
+    """The size different doc_ids of least hash; null is one. A bound on the hash keeps most ids from being sorted at all."""
+    h, n = F.xxhash64("doc_id"), ids.count()
+    share = 2 * size / max(1, n)
+    drawn = ids.select("doc_id").where(h < F.lit(int(share * 2**64) - 2**63)).distinct() if share < 1 else ids.select("doc_id").distinct()
+    if share < 1 and drawn.limit(size).count() < size:  # few ids, often repeated
+        drawn = ids.select("doc_id").distinct()
+    return drawn.orderBy(h, "doc_id").limit(size)
+
+
+def within_bytes(rows: DataFrame, size: Column, by: Sequence[str], limit: int) -> DataFrame:
+    """Of a bounded sample's rows those that keep it under limit bytes: of each of the groups `by` in turn the one of least
+    hash of doc_id."""
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    total = F.sum("_size").over(Window.orderBy("_turn", *by).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumns({"_turn": turn, "_size": size}).withColumn("_total", total).where(F.col("_total") <= limit).drop("_turn", "_size", "_total")
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

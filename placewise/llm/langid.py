@@ -17,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placewise.llm.common import STEP_BYTES, fold, fresh, least_hashed, table
+from placewise.llm.common import STEP_BYTES, fold, forget, fresh, least_hashed, save, table, within_bytes
 
 ORDERS = (1, 2, 3)
 #: Hashed features of each order.
 BUCKETS = 1 << 15
 #: Most labelled rows that the weights are trained on (their document frequencies come from all training rows).
 SAMPLE = 3000
-#: Rows of each language that are in the sample at least, where it has so many.
-LEAST_ROWS = 50
+#: Rows of each language that are in the sample at least, where it has so many; and bytes of the sample's vectors at most.
+LEAST_ROWS, SAMPLE_BYTES = 50, 256 << 20
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.01
 UNKNOWN = "und"
 _MULTIPLY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -76,19 +76,18 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Label, then features and term frequencies of each row."""
+    """Columns doc_id, lang, text. Features and term frequencies of each row in place of its text."""
     for batch in batches:
-        labels, out = batch.column(1).to_pylist(), []
-        texts = batch.column(0).to_pylist()
-        for text, label in zip(texts, labels, strict=True):
+        out = []
+        for text in batch.column(2).to_pylist():
             ids, tfs = [], []
             for k, h, starts, ends in grams([text]):
                 own, n = np.unique(h[starts[0] : ends[0]], return_counts=True)
                 ids.append(own + k * BUCKETS)
                 tfs.append(n / max(1, n.sum()))
-            out.append((label, np.concatenate(ids).astype(np.int32).tobytes(), np.concatenate(tfs).astype(np.float32).tobytes()))
+            out.append((np.concatenate(ids).astype(np.int32).tobytes(), np.concatenate(tfs).astype(np.float32).tobytes()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], ["lang", "ids", "tf"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)]], ["doc_id", "lang", "ids", "tf"])
 
 
 @dataclass
@@ -161,7 +160,11 @@ def least_of_each(known: DataFrame, size: int, salts: int = 256) -> DataFrame:
 
 
 def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
-    """Fit on the rows of docs (doc_id, text, lang) for which may_learn holds and text and lang aren't null."""
+    """Fit on the rows of docs (doc_id, text, lang) for which may_learn holds and text and lang aren't null.
+
+    Of rows that repeat an id and a language the least text counts in the sample. Without rows the model knows no
+    language. Equal tables give equal models.
+    """
     known = docs.where(may_learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     counted = known.select("text").mapInArrow(_document_frequencies, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(len(ORDERS) * BUCKETS)
@@ -170,8 +173,11 @@ def train(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> Model:
     df[counted.feature.to_numpy()] = counted.n.to_numpy()
     # at most `sample` ids and LEAST_ROWS of each language; ids are drawn first, so that no text moves but those of the sample
     ids = F.broadcast(least_hashed(known.select("doc_id"), sample).unionByName(least_of_each(known.select("doc_id", "lang"), min(sample, LEAST_ROWS))).distinct())
-    drawn = known.join(ids, "doc_id").dropDuplicates(["doc_id", "lang"]).select("text", "lang")
-    rows = drawn.mapInArrow(_vectors, "lang string, ids binary, tf binary").toPandas().sort_values(["lang", "ids", "tf"])
+    drawn = known.join(ids, "doc_id").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    kind = drawn.select("doc_id").schema.simpleString()[7:-1]
+    vectors = save(drawn.mapInArrow(_vectors, f"{kind}, lang string, ids binary, tf binary"))
+    rows = within_bytes(vectors, F.octet_length("ids") + F.octet_length("tf"), ["lang"], SAMPLE_BYTES).toPandas().sort_values(["lang", "ids", "tf"])
+    forget(vectors)
     classes = sorted(rows.lang.unique())
     if not classes:
         return Model([], np.zeros((len(df), 0)), np.zeros(0), 1.0)
@@ -196,7 +202,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Null texts, and texts without a letter, get `und` with score 0; so does every text if nothing could be learned.
     The score is the calibrated probability of lang_pred; of equal ones the first language by code point is taken.
-    Equal texts get equal results.
+    Equal texts get equal results, repeated rows are kept; an empty table stays empty.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: features x classes
 
