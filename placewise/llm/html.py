@@ -1,42 +1,42 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host are read in chunks. Every element is a token, told apart by its path (names, classes and ids
-of the open elements). Tokens with the same vector of occurrences over the chunk's pages form an equivalence
-class; a class is valid if its tokens come in the same order on every page. The valid class of tokens that stand
-once on every page is the template's skeleton; classes with other vectors (list items and their links, the
-paragraphs) nest inside its elements as repeated parts. What lies between is the slots. Parts that are set apart by
-their element's name or by words of its marks (menus, notices, adverts and so on) are left out first. The main slot
-is the deepest element of the skeleton that holds all the text that differs between the pages, or an article or main
-element of the skeleton that holds most of it. Its blocks are the page's text, without the template's own text at
-either end of a slot that is no such element. Pages of a chunk with other article or main elements are of another
-template. Copies count as one page.
+Every element of a page is a token, told apart by its path (names, classes and ids of the open elements). Pages of a
+host with the same article and main elements are taken to be of one template. Tokens with the same vector of
+occurrences over all its pages form an equivalence class; that of the tokens which stand once on every page is the
+skeleton, where a token is valid if it has the same place among the class's tokens on every page. Other classes (list
+items and their links, the paragraphs) nest inside the skeleton's elements as repeated parts. What lies between is
+the slots. Parts that are set apart by their element's name or by words of its marks (menus, notices, adverts and so
+on) are left out first. The main slot is the deepest element of the skeleton that holds all the text that differs
+between the pages, or an article or main element of the skeleton that holds most of it. Its blocks are the page's text,
+without the template's own text at either end of a slot that is no such element. Copies count as one page.
+
+Pages are parsed where they lie; vectors, texts and volumes are sums by token over all pages of a template, so that no
+task holds a host's pages and no page's text hangs on which others lie near it.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import zstandard
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm.common import table
+from placewise.llm.common import forget, join_hot, save, table
 from placewise.llm.url_filter import url_parts
 
-#: Pages of a chunk; what is left of a host joins its last chunk.
-CHUNK, LARGEST = 64, 96
-#: A host of more pages is dealt to several tasks, each with about so many; the most such hosts, by pages, that are broadcast.
-TASK_PAGES, HOT_HOSTS = 1024, 100_000
 #: Share of the differing text that a skeleton's article or main element holds where it is the main slot.
 MOST = 0.6
 #: Text is the template's if so many different pages, and this share of them, have it at one place.
 LEAST, ALIKE = 5, 0.8
-#: Pages of which so large a share of the words is common are copies of one another.
-COPY = 0.5
+#: Words of the runs by which copies are told.
+RUN = 3
 
 # Element names and words of classes, ids and roles.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead title tr ul".split())
@@ -163,161 +163,127 @@ class Page:
             element = self.elements[element][1]
 
 
-def classes(pages: list[Page]) -> dict[tuple[int, ...], list[str]]:
-    """Valid equivalence classes: occurrence vector -> tokens in page order."""
-    counts = [Counter(t for t, _, _ in p.elements) for p in pages]
-    vectors: dict[str, tuple[int, ...]] = {t: tuple(c[t] for c in counts) for t in {t for c in counts for t in c}}
-    firsts = []
-    for p in pages:
-        first: dict[str, int] = {}
-        for i, (t, _, _) in enumerate(p.elements):
-            first.setdefault(t, i)
-        firsts.append(first)
-    by: dict[tuple[int, ...], list[str]] = defaultdict(list)
-    for t, v in vectors.items():
-        by[v].append(t)
-    valid = {}
-    for v, tokens in by.items():
-        holders = [f for f, n in zip(firsts, v, strict=True) if n]
-        ordered = sorted(tokens, key=holders[0].__getitem__)
-        if all(a[x] < a[y] for a in holders[1:] for x, y in zip(ordered, ordered[1:], strict=False)):
-            valid[v] = ordered
-    return valid
-
-
-def distinct(pages: list[Page]) -> list[int]:
-    """A number for each page, equal for copies: pages whose words are alike to COPY or more, directly or through others."""
-    words = [frozenset(w for _, t in p.blocks for w in t.split()) for p in pages]
-    kinds = list(dict.fromkeys(words))
-    root = list(range(len(kinds)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    for i, x in enumerate(kinds):
-        for j in range(i):
-            y = kinds[j]
-            if min(len(x), len(y)) >= COPY * max(len(x), len(y)) and find(i) != find(j):
-                both = len(x & y)
-                if both >= COPY * (len(x) + len(y) - both):
-                    root[find(i)] = find(j)
-    at = {w: find(i) for i, w in enumerate(kinds)}
-    return [at[w] for w in words]
-
-
-def constants(pages: list[Page]) -> set[tuple[str, str]]:
-    """Text (token, text) that stands at one place of (nearly) all pages, copies counted once."""
-    own = [{(p.elements[e][0], text) for e, text in p.blocks} for p in pages]
-    # text of so many pages that differ is on so many pages; most chunks have none, and their pages need not be compared
-    often = {k for k, n in Counter(k for texts in own for k in texts).items() if n >= LEAST}
-    if not often:
-        return set()
-    kind = distinct(pages)
-    needed = max(LEAST, ALIKE * len(set(kind)))
-    holders: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for texts, k in zip(own, kind, strict=True):
-        for text in texts & often:
-            holders[text].add(k)
-    return {text for text, kinds in holders.items() if len(kinds) >= needed}
-
-
-def deduce(pages: list[Page], constant: set[tuple[str, str]]) -> tuple[set[str], str, bool]:
-    """Skeleton tokens, the main slot's token, and whether that is an article or main element. All pages are of one template.
-
-    The slot is the deepest skeleton element that holds all text that differs between the pages. Where an article or
-    main element of the skeleton holds MOST of it, that element (the outermost one) is the slot.
-    """
-    skeleton = {t for v, tokens in classes(pages).items() if set(v) == {1} for t in tokens} | {""}
-    volume: Counter[str] = Counter()
-    for differs in (True, False):  # if no text differs, all text counts
-        for p in pages:
-            for e, text in p.blocks:
-                if not differs or (p.elements[e][0], text) not in constant:
-                    for a in p.chain(e):
-                        if p.elements[a][0] in skeleton:
-                            volume[p.elements[a][0]] += len(text)
-        if volume:
-            break
-    depth = lambda t: (t.count(">"), t)
-    told = {p.elements[e][0] for p in pages for e in p.main} & skeleton
-    if told := {t for t in told if volume[t] >= MOST * volume[""]}:
-        return skeleton, min(told, key=depth), True
-    return skeleton, max((t for t in skeleton if volume[t] == volume[""]), key=depth), False
-
-
-def extract(sources: list[str]) -> list[str]:
-    """Main text of each page of one host's chunk; in any order, equal sets of pages give equal texts."""
-    pages = [Page(s) for s in sources]
-    templates: dict[frozenset[str], list[Page]] = defaultdict(list)
-    for p in pages:
-        if p.blocks:
-            templates[frozenset(p.elements[e][0] for e in p.main)].append(p)
-    everywhere = constants([p for p in pages if p.blocks])
-    texts = {}
-    for own in templates.values():
-        constant = everywhere | constants(own) if len(templates) > 1 else everywhere
-        skeleton, slot, told = deduce(own, constant)
-        for p in own:
-            inside = [(e, t) for e, t in p.blocks if any(p.elements[a][0] == slot for a in p.chain(e))]
-            if not told:  # the template's text before and after what differs; repeated parts, and what stands in between, are the page's
-                fixed = [(p.elements[e][0], t) in constant and p.elements[e][0] in skeleton for e, t in inside]
-                while fixed and fixed[-1]:
-                    fixed.pop()
-                first = fixed.index(False) if fixed else 0
-                inside = inside[first : len(fixed)]
-            texts[id(p)] = "\n\n".join(t for _, t in inside)
-    return [texts.get(id(p), "") for p in pages]
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    to = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        z = [to.compress((h or "").encode("utf-8", "surrogatepass")) for h in batch.column(batch.num_columns - 1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(z, pa.binary())], [*batch.schema.names[:-1], "z"])
+def kind(page: Page) -> int:
+    """Equal for copies: the least hash of the runs of three words of the page's blocks. Near copies mostly share it."""
+    words = [w for _, t in page.blocks for w in t.split()]
+    return min((_hash(" ".join(words[i : i + RUN])) for i in range(max(1, len(words) - RUN + 1))), default=0)
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host: columns host, salt, page_id, url, z."""
-    of = zstandard.ZstdDecompressor()
-    host, held = None, []
+def _lists(rows: list[list[int]]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([v for r in rows for v in r], pa.int64()))
 
-    def done(rows: list) -> pa.RecordBatch:
-        texts = extract([of.decompress(r[2]).decode("utf-8", "surrogatepass") for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    kind = None
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns host, page_id, url, html -> a row's number, host, page_id, url, template, kind, once, mains, blocks."""
+    number = TaskContext.get().partitionId() << 40
+    known: dict[str, int] = {}
+
+    def token(t: str) -> int:
+        if t not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[t] = _hash(t)
+        return known[t]
+
     for batch in batches:
-        kind = batch.column(2).type
-        for own_host, salt, page, url, z in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if (own_host, salt) != host:
-                if held:
-                    yield done(held)
-                host, held = (own_host, salt), []
-            held.append((page, url, z))
-            if len(held) >= LARGEST:
-                yield done(held[:CHUNK])
-                held = held[CHUNK:]
-    if held:
-        yield done(held)
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            pages = [Page(h or "") for h in part.column(3).to_pylist()]
+            once, mains, templates, chains, texts, ends = [], [], [], [], [], [0]
+            for p in pages:
+                count = Counter(t for t, _, _ in p.elements)
+                once.append([token(t) for t, _, _ in p.elements if count[t] == 1])
+                marked = sorted({p.elements[e][0] for e in p.main})
+                mains.append([token(t) for t in marked])
+                templates.append(_hash("\n".join(marked)))
+                for e, text in p.blocks:
+                    chains.append([token(p.elements[a][0]) for a in p.chain(e)][::-1])
+                    texts.append(text)
+                ends.append(len(texts))
+            blocks = pa.StructArray.from_arrays([_lists(chains), pa.array(texts, pa.string())], ["chain", "text"])
+            columns = [
+                pa.array(number + np.arange(len(pages))), *part.columns[:3], pa.array(templates, pa.int64()), pa.array([kind(p) for p in pages], pa.int64()),
+                _lists(once), _lists(mains), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), blocks),
+            ]
+            number += len(pages)
+            yield pa.RecordBatch.from_arrays(columns, ["row", "host", "page_id", "url", "template", "kind", "once", "mains", "blocks"])
+
+
+def templates(full: DataFrame) -> DataFrame:
+    """key, pages, slot, told, fixed of every template: its main slot's token, whether that is an article or main element, and
+    the hashes of (token, text) of its own text at skeleton tokens.
+
+    full: the parsed pages that have blocks. Everything is summed by (template, token) or (template, token, text) and
+    combined before it is shuffled; what is listed for a template is no more than a page holds.
+    """
+    total = full.count()
+    pages = save(full.groupBy("key", "kind").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds")))
+    # the class of tokens whose vector is one on every page; valid are those that have the same place in it on every page
+    once = full.select("key", F.explode("once").alias("token")).groupBy("key", "token").agg(F.count("*").alias("n"))
+    ones = join_hot(once, pages, "key", ["pages"], F.col("pages"), total, "token").where("n = pages")
+    class_of = ones.groupBy("key").agg(F.collect_list("token").alias("ones"), F.max("pages").alias("pages"))
+    placed = join_hot(full.select("key", "row", "once"), class_of, "key", ["ones"], F.col("pages"), total, "row")
+    placed = placed.select("key", F.posexplode(F.array_intersect("once", "ones")).alias("at", "token"))
+    skeleton = placed.groupBy("key", "token").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first = last").select("key", "token")
+    # texts of one place, how many different pages have them, and so which are the template's
+    block = full.select("key", "kind", F.explode("blocks").alias("b")).select("key", "kind", "b.chain", F.xxhash64("b.text").alias("text"), F.length("b.text").alias("size"))
+    held = block.groupBy("key", "chain", "text", "kind").agg(F.sum("size").alias("size")).groupBy("key", "chain", "text").agg(F.sum("size").alias("size"), F.count("*").alias("holders"))
+    held = join_hot(held, pages, "key", ["kinds"], F.col("pages"), total, "text")
+    own = F.col("holders") >= F.greatest(F.lit(float(LEAST)), F.col("kinds") * F.lit(ALIKE))
+    place = held.withColumn("own", own).groupBy("key", "chain").agg(
+        F.sum("size").alias("size"), F.sum(F.when(F.col("own"), 0).otherwise(F.col("size"))).alias("differs"), F.collect_set(F.when(F.col("own"), F.col("text"))).alias("fixed")
+    )
+    above = place.select("key", "size", "differs", "fixed", F.size("chain").alias("length"), F.posexplode("chain").alias("depth", "token"))
+    above = above.withColumn("fixed", F.when(F.col("depth") == F.col("length") - 1, F.transform("fixed", lambda t: F.xxhash64("token", t))).otherwise(F.array().cast("array<long>")))
+    volume = above.groupBy("key", "token", "depth").agg(F.sum("size").alias("size"), F.sum("differs").alias("differs"), F.flatten(F.collect_list("fixed")).alias("fixed"))
+    mains = full.select("key", F.explode("mains").alias("token")).distinct().withColumn("main", F.lit(True))
+    known = volume.join(skeleton, ["key", "token"]).join(mains, ["key", "token"], "left")
+    listed = known.groupBy("key").agg(
+        F.collect_list(F.struct("depth", "token", "size", "differs", F.coalesce("main", F.lit(False)).alias("main"))).alias("all"), F.flatten(F.collect_list("fixed")).alias("fixed"),
+        F.max("size").alias("size"), F.max("differs").alias("differs"),
+    )
+    # the root holds the most; if no text differs, all text counts
+    weight = lambda x: F.when(F.col("differs") > 0, x["differs"]).otherwise(x["size"])
+    most = F.when(F.col("differs") > 0, F.col("differs")).otherwise(F.col("size"))
+    by_depth = lambda xs: F.transform(xs, lambda x: F.struct(x["depth"], x["token"]))
+    told = F.array_min(by_depth(F.filter("all", lambda x: x["main"] & (weight(x) >= most * F.lit(MOST)))))
+    deepest = F.array_max(by_depth(F.filter("all", lambda x: weight(x) == most)))
+    chosen = listed.select("key", "fixed", told.alias("told"), deepest.alias("deepest"))
+    chosen = chosen.select("key", F.coalesce("told.token", "deepest.token").alias("slot"), F.col("told").isNotNull().alias("told"), "fixed")
+    out = save(chosen.join(pages.select("key", "pages"), "key"))
+    forget(pages)
+    return out
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """A row per page: page_id, url, text, n_chars.
 
-    Null html is empty and gives an empty text. Pages without a host (null url) share one. Repeated rows are kept
-    and count as pages of their own. An empty table gives an empty result; other columns don't matter.
+    Null html is empty and gives an empty text. Pages without a host (null url) share one. Repeated rows are kept, and
+    count once where template text is looked for. A page's text depends on its host's pages only, not on their order.
+    An empty table gives an empty result; other columns don't matter.
     """
     host, _ = url_parts(F.col("url"))
-    keyed = pages.select(host.alias("host"), "page_id", "url", "html")
-    hot = keyed.groupBy("host").count().where(F.col("count") > 2 * TASK_PAGES).orderBy(F.desc("count"), "host").limit(HOT_HOSTS)
-    salts = F.broadcast(hot.select("host", F.ceil(F.col("count") / TASK_PAGES).alias("salts")))  # at most HOT_HOSTS rows
-    kind = pages.select("page_id").schema.simpleString()[7:-1]
-    packed = keyed.mapInArrow(_packed, f"host string, {kind}, url string, z binary")
-    dealt = packed.join(salts, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int"))
-    dealt = dealt.select("host", "salt", "page_id", "url", "z").repartition("host", "salt").sortWithinPartitions("host", "salt", F.xxhash64("page_id", "url"))
-    return dealt.mapInArrow(_texts, f"{kind}, url string, text string, n_chars long")
+    column = pages.select("page_id").schema.simpleString()[7:-1]
+    schema = f"row long, host string, {column}, url string, template long, kind long, once array<long>, mains array<long>, blocks array<struct<chain:array<long>,text:string>>"
+    parsed = pages.select(host.alias("host"), "page_id", "url", "html").mapInArrow(_parsed, schema)
+    parsed = save(parsed.withColumn("key", F.xxhash64("host", "template")).drop("host", "template"))
+    full = parsed.where(F.size("blocks") > 0)
+    found = join_hot(full.select("key", "row", "page_id", "url", "blocks"), templates(full), "key", ["slot", "told", "fixed"], F.col("pages"), full.count(), "row")
+    inside = F.filter("blocks", lambda b: F.array_contains(b["chain"], F.col("slot")))
+    found = found.select("page_id", "url", "told", "fixed", inside.alias("blocks"))
+    # the template's text before and after what differs; repeated parts, and what stands in between, are the page's
+    keeps = F.transform("blocks", lambda b: ~F.array_contains("fixed", F.xxhash64(F.element_at(b["chain"], -1), F.xxhash64(b["text"]))))
+    found = found.withColumn("keeps", F.when(F.col("told"), F.transform("blocks", lambda b: F.lit(True))).otherwise(keeps))
+    first, last = F.array_position("keeps", True), F.array_position(F.reverse("keeps"), True)
+    kept = F.when(first > 0, F.slice("blocks", first.cast("int"), (F.size("blocks") - first - last + 2).cast("int"))).otherwise(F.slice("blocks", 1, 0))
+    texts = found.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
+    empty = parsed.where(F.size("blocks") == 0).select("page_id", "url", F.lit("").alias("text"))
+    return texts.unionByName(empty).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
