@@ -4,7 +4,8 @@ A payload becomes the data chunk of a WAV file (mono, 8-bit unsigned, 16 kHz). F
 polyphase resampling to 8 kHz, overlapped frames, log-mel filterbanks, and energy segments by hysteresis (a
 segment opens above the upper level and lasts while the energy stays above the lower one). The features of each
 segment are a fixed-shape Arrow tensor (PATCH x MELS) with the segment's time span; a long segment's frames are
-averaged into its PATCH rows.
+averaged into its PATCH rows. Tensors and spans are stored as Arrow IPC bytes in a binary column, since Spark's own
+columns have no such type.
 """
 
 from __future__ import annotations
@@ -124,6 +125,23 @@ def features(media: bytes) -> tuple[pa.FixedShapeTensorArray, list[tuple[float,
     return tensors, [(a * OFFSET / TO_RATE, b * OFFSET / TO_RATE) for a, b in spans]
 
 
+_STORED = pa.schema([("tensor", TENSOR), ("start", pa.float64()), ("end", pa.float64())])
+
+
+def store_features(tensors: pa.FixedShapeTensorArray, spans: list[tuple[float, float]]) -> bytes:
+    """An Arrow IPC stream of one batch: a fixed-shape tensor and its time span for each segment."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, _STORED) as w:
+        w.write_batch(pa.RecordBatch.from_arrays([tensors, pa.array([a for a, _ in spans], pa.float64()), pa.array([b for _, b in spans], pa.float64())], schema=_STORED))
+    return out.getvalue().to_pybytes()
+
+
+def read_features(stored: bytes) -> tuple[pa.FixedShapeTensorArray, list[tuple[float, float]]]:
+    """What store_features() stored, without a copy of the tensors."""
+    batch = pa.ipc.open_stream(stored).read_next_batch()
+    return batch.column(0), list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+
+
 def describe(tensors: pa.FixedShapeTensorArray, spans: list[tuple[float, float]]) -> str:
     """Segments, seconds, mean log-mel bands, and a digest of all tensors and spans (rounded, so that it doesn't hang on the last bits)."""
     x = tensors.to_numpy_ndarray()
@@ -133,34 +151,37 @@ def describe(tensors: pa.FixedShapeTensorArray, spans: list[tuple[float, float]]
 
 
 def audio_columns(docs: DataFrame, text: str = "text", keep_media: bool = True) -> DataFrame:
-    """doc_id, and the stored clip with its tensors (each PATCH * MELS floats, row by row) and time spans.
+    """doc_id, n_bytes, media (the stored clip; null unless keep_media) and features (its tensors and time spans as
+    store_features() stores them: an Arrow IPC stream of the fixed-shape tensor type, for read_features()).
 
-    A null text counts as empty: its payload is one block of spaces. Equal texts give equal values. An empty
-    table gives an empty result.
+    A null text counts as empty: its payload is one block of spaces. Equal texts give equal values, repeated rows are
+    kept. An empty table gives an empty result; other columns don't matter.
     """
-    schema = docs.select("doc_id").schema.simpleString()[7:-1] + ", n_bytes bigint, media binary, tensors array<array<float>>, spans array<struct<start:double,end:double>>"
+    schema = docs.select("doc_id").schema.simpleString()[7:-1] + ", n_bytes bigint, media binary, features binary"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                rows = {"n_bytes": [], "media": [], "tensors": [], "spans": []}
+                rows = {"n_bytes": [], "media": [], "features": []}
                 for t in part.column(1).to_pylist():
                     data, n = payload(t)
                     media = store(data)
-                    tensors, spans = features(media)
                     rows["n_bytes"].append(n)
                     rows["media"].append(media if keep_media else None)
-                    rows["tensors"].append(tensors.storage.to_pylist())
-                    rows["spans"].append([{"start": a, "end": b} for a, b in spans])
-                kinds = {"n_bytes": pa.int64(), "media": pa.binary(), "tensors": pa.list_(pa.list_(pa.float32())), "spans": pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))}
+                    rows["features"].append(store_features(*features(media)))
+                kinds = {"n_bytes": pa.int64(), "media": pa.binary(), "features": pa.binary()}
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, kinds[k]) for k, v in rows.items()]], ["doc_id", *rows])
 
     return docs.select("doc_id", text).mapInArrow(build, schema)
 
 
 def audio_digests(docs: DataFrame, text: str = "text") -> DataFrame:
-    """What audio_columns() stores, as digests: nothing but sizes, checksums and a feature string leaves the task."""
+    """What audio_columns() stores, read back, as digests: nothing but sizes, checksums and a feature string leaves the task.
+
+    A row per row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Null
+    texts, equal texts, repeated rows, empty tables and other columns are as there.
+    """
     kinds = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
     schema = docs.select("doc_id").schema.simpleString()[7:-1] + ", n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
@@ -171,7 +192,7 @@ def audio_digests(docs: DataFrame, text: str = "text") -> DataFrame:
                 data, n = payload(t.as_py())
                 media = store(data)
                 back = read(media)
-                out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(*features(media))))
+                out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), describe(*read_features(store_features(*features(media))))))
             columns = list(zip(*out, strict=True)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)]], ["doc_id", *kinds])
 
