@@ -8,20 +8,29 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from placewise.llm import langid, lm, quality
-from placewise.llm.common import fold, least_hashed, steps, table, utf8, word_bounds
+from placewise.llm.common import fold, least_hashed, steps, table, utf8, within_bytes, word_bounds
 
 from .conftest import DATA
 
 
 def test_least_hashed(spark):
     ids = spark.range(0, 5000, 1, 7).select(F.col("id").alias("doc_id")).unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS doc_id UNION ALL SELECT 3L"))
-    want = ids.orderBy(F.xxhash64("doc_id"), "doc_id")
+    want = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id")
     for size in (1, 300, 6000):
-        assert least_hashed(ids, size, salts=3).collect() == want.limit(size).collect()
+        assert least_hashed(ids, size).collect() == want.limit(size).collect()
     assert least_hashed(ids.limit(0), 5).count() == 0
+    often = spark.range(5000).select((F.col("id") % 4).alias("doc_id"))
+    assert least_hashed(often, 3).collect() == often.distinct().orderBy(F.xxhash64("doc_id")).limit(3).collect()
+
+
+def test_within_bytes(spark):
+    rows = spark.createDataFrame([(i, i % 2, "x" * 10) for i in range(40)] + [(99, 2, "x" * 10)], "doc_id long, kind int, text string")
+    got = within_bytes(rows, F.octet_length("text"), ["kind"], 110).collect()
+    assert len(got) == 11 and sorted(r.kind for r in got) == [0] * 5 + [1] * 5 + [2]
 
 
 def test_fold_is_crc32(spark):
@@ -86,7 +95,8 @@ def test_rare_language_is_learned(spark):
 def test_language_odd_rows(odd_docs, no_docs):
     model = langid.train(odd_docs, F.lit(True))
     assert model.classes == ["de", "en", "es", "fr"]
-    got = {r["doc_id"]: r for r in langid.predict(odd_docs, model).collect()}
+    got = {r["doc_id"]: r for r in langid.predict(odd_docs.withColumn("_judged", F.lit("kept")), model).collect()}
+    assert {r["_judged"] for r in got.values()} == {"kept"}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (2, 3, 4, 8))
     assert got[1].lang_pred == "en" and got[1].score == got[7].score and got[6].lang_pred in model.classes
     assert got[1]["key"] == "clash"
@@ -118,6 +128,45 @@ def test_quality_gradients():
         assert (up - down) / (2 * h) == pytest.approx(float(g[i]), rel=0.1, abs=2e-3)
 
 
+def test_quality_scores_against_a_naive_pass():
+    """Byte by byte, filter by filter, chunk by chunk."""
+    net = quality.Net.new(4)
+    r = np.random.default_rng(6)
+    for p in net.params():
+        p[:] = r.standard_normal(p.shape) * 0.3
+    net.shift = 0.25
+    texts = [b"", b"a", "Ünï çödé text".encode(), bytes(r.integers(1, 256, 255).astype(np.uint8)), bytes(r.integers(1, 256, 256).astype(np.uint8)), bytes(r.integers(1, 256, 1500).astype(np.uint8))]
+    bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    for text, score in zip(texts, got, strict=True):
+        units, start = [], 0
+        while True:
+            chunk = text[start : start + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+            best = []
+            for f in range(quality.FILTERS):
+                answers = []
+                for at in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+                    answers.append(sum(float(net.embed[chunk[at + i], e]) * float(net.filters[i * quality.EMBED + e, f]) for i in range(quality.WIDTH) for e in range(quality.EMBED)))
+                best.append(max(0.0, max(answers) + float(net.bias[f])))
+            units.append([math.tanh(sum(b * float(net.hidden[f, h]) for f, b in enumerate(best)) + float(net.hidden_bias[h])) for h in range(quality.HIDDEN)])
+            if start + quality.CHUNK >= len(text):
+                break
+            start += quality.HOP
+        pooled = [sum(u[h] for u in units) / len(units) for h in range(quality.HIDDEN)] + [max(u[h] for u in units) for h in range(quality.HIDDEN)]
+        z = sum(p * float(w) for p, w in zip(pooled, net.out[:, 0], strict=True)) + float(net.out_bias[0]) + 0.25
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+
+
+def test_quality_training_sees_whole_texts_in_steps(monkeypatch):
+    """The gradients of many chunks are the same whatever the size of a step."""
+    net, r = quality.Net.new(2), np.random.default_rng(3)
+    chunks, n, labels = r.integers(0, 256, (40, quality.CHUNK)).astype(np.uint8), np.array([30, 10]), np.array([1.0, 0.0], np.float32)
+    want = quality._gradients(net, chunks, n, labels)
+    monkeypatch.setattr(quality, "AT_ONCE", 7)
+    for a, b in zip(quality._gradients(net, chunks, n, labels), want, strict=True):
+        assert a == pytest.approx(b, abs=1e-5)
+
+
 def test_quality_chunks_cover_every_byte():
     for size in (0, 1, 255, 256, 257, 496, 497, 5000):
         starts, n = quality.chunks_of(np.zeros(size, np.uint8), np.array([0, size]))
@@ -205,13 +254,13 @@ def test_lm_places_words_by_their_neighbours():
     texts = ["a x b", "A y b x", "", "b z", "z"]
     h = {w: int(lm.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([1])).view(np.int64)[0]) for w in "abxyz"}
     top, cls = np.array([h["a"], h["b"]]), np.array([0, 1])
-    docs = pa.RecordBatch.from_arrays([pa.array([7, 7, 7, 8, 8]), lm.compressed(pa.array(texts))], ["grp", "z"])
-    got = pa.Table.from_batches(lm._neighbours(top, cls, np.array([h["x"], h["y"]]), np.array([True, False]))(iter([docs.slice(0, 2), docs.slice(2)]))).to_pylist()
+    z = [zstandard.compress("".join(t).encode()) for t in (texts[:3], texts[3:])]
+    docs = pa.RecordBatch.from_arrays([pa.array([7, 8]), pa.array([[len(t) for t in texts[:3]], [len(t) for t in texts[3:]]]), pa.array(z)], ["grp", "sizes", "z"])
+    got = pa.Table.from_batches(lm._neighbours(top, cls, np.array([h["x"], h["y"]]), np.array([True, False]))(iter([docs.slice(0, 1), docs.slice(1)]))).to_pylist()
     near = {(r["h"], r["salt"]): sorted(zip(r["near"][::2], r["near"][1::2], strict=True)) for r in got}
     other, end, right = lm.OTHER_SIDE, lm.END_SIDE, lm.RIGHT
-    assert near == {(h["x"], 7): [(0, 1 + right), (1, end + right)], (h["z"], -1): [(1, end + right), (end, end + right)]}
-    packed = pa.RecordBatch.from_arrays([lm.compressed(pa.array(texts))], ["z"])
-    seen = next(lm._top_pairs(top)(iter([packed])))
+    assert near == {(h["x"], 8): [(0, 1 + right), (1, end + right)], (h["z"], -1): [(1, end + right), (end, end + right)]}
+    seen = next(lm._top_pairs(top)(iter([docs.select(["sizes", "z"])])))
     n = {divmod(p, lm.SYMBOLS): k for p, k in zip(*(c.to_pylist() for c in seen.columns), strict=True)}
     assert n == {(lm.END, 0): 2, (0, lm.TOP): 2, (lm.TOP, 1): 2, (1, lm.END): 1, (1, lm.TOP): 2, (lm.TOP, lm.END): 3, (lm.END, lm.END): 1, (lm.END, 1): 1, (lm.END, lm.TOP): 1}
     # a word's rows may lie in two batches; rare words go; a salted word's sums are kept

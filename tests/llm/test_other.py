@@ -371,23 +371,3 @@ def test_word_ids():
     with pytest.raises(UnicodeDecodeError):
         ids([b"fine \xff"])
     assert ids([b"fine"]) == [np.array(ids.of.encode("fine", add_special_tokens=False).ids, "<u4").tobytes()]
-
-
-def test_pipeline(spark, odd_docs):
-    import corpus_pipeline as p
-
-    docs = table(spark, DATA, "documents")
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, DATA)
-        assert out.columns == docs.columns, name
-        before, docs = docs.count(), spark.createDataFrame(out.collect(), docs.schema)
-        assert 0 < docs.count() and (docs.count() <= before or name == "mixing sources")
-    clean = table(spark, DATA, "documents").join(table(spark, DATA, "labels").where("quality = 1"), "doc_id", "left_semi")
-    kept = p.quality_stage(spark, table(spark, DATA, "documents"), DATA)
-    assert clean.join(kept, "doc_id", "left_anti").count() <= 0.05 * clean.count()
-    assert p.run(spark, DATA).count() > 0
-    for _, stage in p.STAGES:
-        stage(spark, odd_docs, DATA).collect()
-        assert stage(spark, odd_docs.limit(0), DATA).count() == 0
-    alone = p.dedup_stage(spark, odd_docs, DATA).collect()
-    assert sorted(r.doc_id or 0 for r in alone) == [0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 12]
