@@ -26,8 +26,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from placewise.llm.common import compressed, fold, forget, lower_ascii, save, steps, table, utf8, word_bounds, word_hashes
+from placewise.llm.common import fold, forget, lower_ascii, save, steps, table, utf8, word_bounds, word_hashes
 
 TOP, CLASSES, SWEEPS = 1024, 48, 4
 #: Bands of counts: 1, 2, 3-4, ... up to 2**(BANDS - 1) and more.
@@ -36,6 +37,8 @@ BANDS = 40
 GROUP_BYTES, ROW_BYTES, TASK_GROUPS = 8 << 20, 64, 8
 #: The words of most groups, whose counts and classes every task knows, and the parts that their neighbours are added up in first.
 HOT, SALTS = 1 << 16, 64
+#: Bytes of a slice of documents, and words beyond the top ones whose neighbours a task holds at a time, about.
+SLICE_BYTES, OCCURRENCES = 256 << 10, 3_000_000
 #: Pseudo-counts with which a class's own share weighs in its transitions.
 SMOOTHING = 20.0
 END, UNKNOWN, SYMBOLS = TOP + BANDS, TOP + BANDS + 1, TOP + BANDS + 2
@@ -54,29 +57,58 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, np.
         yield i, j, word_hashes(part, starts, ends).view(np.int64), n
 
 
-def _packed(group_bytes: int):
-    """Columns doc_id, learn and text; a group number is added. A task's rows in turn, about group_bytes of them, are a group;
-    texts are compressed one by one."""
+def _packed(kind: pa.DataType, group_bytes: int):
+    """Columns doc_id, learn and text -> learn, grp, ids, sizes, z: documents in slices, whose texts are compressed together.
+    A task's rows in turn, about group_bytes of them, are a group."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = TaskContext.get().partitionId() << 32, 0
+        to = zstandard.ZstdCompressor(level=3)
+        open_: dict[bool, list[tuple]] = {False: [], True: []}
+        out: list[tuple] = []
+
+        def close(learn: bool) -> None:
+            if rows := open_[learn]:
+                out.append((learn, number, [i for i, _ in rows], [len(t) for _, t in rows], to.compress(b"".join(t for _, t in rows))))
+                open_[learn] = []
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = (pa.bool_(), pa.int64(), pa.list_(kind), pa.list_(pa.int64()), pa.binary())
+            made = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["learn", "grp", "ids", "sizes", "z"])
+            out.clear()
+            return made
+
+        size_of = {False: 0, True: 0}
         for batch in batches:
-            _, bounds = utf8(batch.column(2))
-            grp = np.zeros(batch.num_rows, np.int64)
-            for i, size in enumerate(np.diff(bounds).tolist()):
-                if held and held + size > group_bytes:
-                    number, held = number + 1, 0
-                held += size + ROW_BYTES
-                grp[i] = number
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grp), compressed(batch.column(2))], ["doc_id", "learn", "grp", "z"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                for doc, learn, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    data = (text or "").encode("utf-8", "surrogatepass")
+                    if held and held + len(data) > group_bytes:
+                        close(False)
+                        close(True)
+                        number, held, size_of = number + 1, 0, {False: 0, True: 0}
+                    held += len(data) + ROW_BYTES
+                    size_of[learn] += len(data) + ROW_BYTES
+                    open_[learn].append((doc, data))
+                    if size_of[learn] > SLICE_BYTES:
+                        close(learn)
+                        size_of[learn] = 0
+                if len(out) > 16:
+                    yield batch_of()
+        close(False)
+        close(True)
+        if out:
+            yield batch_of()
 
     return pack
 
 
-def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(z: pa.Array, sizes: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and bounds of each slice's texts."""
     of = zstandard.ZstdDecompressor()
-    data = [of.decompress(z) for z in column.to_pylist()]
-    return np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(d) for d in data]))).astype(np.int64)
+    for data, own in zip(z.to_pylist(), sizes.to_pylist(), strict=True):
+        yield np.frombuffer(of.decompress(data), np.uint8), np.concatenate(([0], np.cumsum(own))).astype(np.int64)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -96,28 +128,35 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return h[cut], np.add.reduceat(n, cut) if len(cut) else n
 
 
-def _group_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns grp, learn, z. Each group's distinct words and how often training documents of the group hold them."""
-    grp, held, kept = None, [], 0
+def _group_words(hot: np.ndarray | None = None):
+    """Columns grp, learn, sizes, z. Each group's distinct words (but the hot ones) and how often training documents of the
+    group hold them."""
+    place = _ranks(np.zeros(0, np.int64) if hot is None else hot)
 
-    def out() -> pa.RecordBatch:
-        h, n = _merge(held)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), grp, np.int64)), pa.array(h), pa.array(n, pa.int64())], ["grp", "h", "n"])
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, held, kept = None, [], 0
 
-    for number, rows in _runs(batches, 0):
-        if number != grp:
-            if held:
-                yield out()
-            grp, held, kept = number, [], 0
-        learn = rows.column(1).to_numpy(zero_copy_only=False)
-        for i, j, h, n in tokens(*_unpacked(rows.column(2))):
-            held.append((h, np.repeat(learn[i:j].astype(np.int64), n)))
-            kept += len(h)
-            if kept > 2_000_000:
-                held = [_merge(held)]
-                kept = len(held[0][0])
-    if held:
-        yield out()
+        def out() -> pa.RecordBatch:
+            h, n = _merge(held)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), grp, np.int64)), pa.array(h), pa.array(n, pa.int64())], ["grp", "h", "n"])
+
+        for number, rows in _runs(batches, 0):
+            if number != grp:
+                if held:
+                    yield out()
+                grp, held, kept = number, [], 0
+            for learn, text in zip(rows.column(1).to_pylist(), _unpacked(rows.column(3), rows.column(2)), strict=True):
+                for _, _, h, _ in tokens(*text):
+                    h = h[place(h) < 0]
+                    held.append((h, np.full(len(h), int(learn))))
+                    kept += len(h)
+                    if kept > 2_000_000:
+                        held = [_merge(held)]
+                        kept = len(held[0][0])
+        if held:
+            yield out()
+
+    return words
 
 
 def _ranks(top: np.ndarray):
@@ -141,11 +180,12 @@ def _top_pairs(top: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
         for batch in batches:
-            for _, _, own, n in tokens(*_unpacked(batch.column(0))):
-                place = ranks(own)
-                flat, _ = _ended(np.where(place < 0, TOP, place), n, END)
-                total += np.bincount(flat[:-1] * SYMBOLS + flat[1:], minlength=len(total))
-                total[END * SYMBOLS + END] -= len(n) - 1  # between two documents there is no pair
+            for text in _unpacked(batch.column(1), batch.column(0)):
+                for _, _, own, n in tokens(*text):
+                    place = ranks(own)
+                    flat, _ = _ended(np.where(place < 0, TOP, place), n, END)
+                    total += np.bincount(flat[:-1] * SYMBOLS + flat[1:], minlength=len(total))
+                    total[END * SYMBOLS + END] -= len(n) - 1  # between two documents there is no pair
         nz = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(nz, pa.int32()), pa.array(total[nz])], ["pair", "n"])
 
@@ -161,8 +201,9 @@ def _ended(values: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.
 
 
 def _neighbours(top: np.ndarray, cls: np.ndarray, hot: np.ndarray, hot_places: np.ndarray):
-    """Columns grp, z of training documents. For each word of a group but the top ones: its neighbours in the group, two bytes
-    an occurrence, and a salt: the group's number where the word is hot (of these only where hot_places holds), else -1."""
+    """Columns grp, sizes, z of training documents. For each word but the top ones: its neighbours in up to OCCURRENCES of a
+    task's words, two bytes each, and a salt: from a group's number where the word is hot (of these only where hot_places
+    holds), else -1."""
     ranks, place = _ranks(top), _ranks(hot)
     sides = np.append(cls[: len(top)], OTHER_SIDE)  # the last one for place -1
     wanted = np.append(hot_places, True)
@@ -178,18 +219,19 @@ def _neighbours(top: np.ndarray, cls: np.ndarray, hot: np.ndarray, hot_places: n
         return pa.RecordBatch.from_arrays([pa.array(own[cut]), pa.array(salt), cells], ["h", "salt", "near"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grp, held = None, []
-        for number, rows in _runs(batches, 0):
-            if number != grp and held:
-                yield out(grp, held)
-                held = []
-            grp = number
-            for _, _, own, n in tokens(*_unpacked(rows.column(1))):
-                rank = ranks(own)
-                side, where = _ended(sides[rank], n, END_SIDE)
-                mine = (rank < 0) & wanted[place(own)]
-                where = where[mine]
-                held.append((own[mine], np.stack((side[where - 1], side[where + 1] + RIGHT), axis=1).astype(np.uint8)))
+        grp, held, kept = 0, [], 0
+        for grp, rows in _runs(batches, 0):  # a task's groups together
+            for text in _unpacked(rows.column(2), rows.column(1)):
+                for _, _, own, n in tokens(*text):
+                    rank = ranks(own)
+                    side, where = _ended(sides[rank], n, END_SIDE)
+                    mine = (rank < 0) & wanted[place(own)]
+                    where = where[mine]
+                    held.append((own[mine], np.stack((side[where - 1], side[where + 1] + RIGHT), axis=1).astype(np.uint8)))
+                    kept += len(where)
+                    if kept > OCCURRENCES:
+                        yield out(grp, held)
+                        held, kept = [], 0
         if held:
             yield out(grp, held)
 
@@ -275,17 +317,19 @@ def _code(top: np.ndarray, n_ends: int, hot: tuple[np.ndarray, np.ndarray, np.nd
         to = zstandard.ZstdCompressor(level=1)
         end_known = int(n_ends > 0)
         n_tokens, n_known, sums, codes = [], [], [], []
-        data, bounds = _unpacked(docs["z"].combine_chunks())
-        for _, _, own, n in tokens(data, bounds):
-            at = np.searchsorted(h, own)
-            s, known, log = symbol[at].astype("<u2"), c[at] > 0, logs[at]
-            edge = np.concatenate(([0], np.cumsum(n)))
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                n_tokens.append(int(b - a) + 1)
-                n_known.append(int(known[a:b].sum()) + end_known)
-                sums.append(float(log[a:b].sum()) + float(np.log10(n_ends + 1.0)))
-                codes.append(to.compress(s[a:b].tobytes()))
-        arrays = [docs["doc_id"], docs["learn"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(codes, pa.binary())]
+        for text in _unpacked(docs["z"].combine_chunks(), docs["sizes"].combine_chunks()):
+            for _, _, own, n in tokens(*text):
+                at = np.searchsorted(h, own)
+                s, known, log = symbol[at].astype("<u2"), c[at] > 0, logs[at]
+                edge = np.concatenate(([0], np.cumsum(n)))
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    n_tokens.append(int(b - a) + 1)
+                    n_known.append(int(known[a:b].sum()) + end_known)
+                    sums.append(float(log[a:b].sum()) + float(np.log10(n_ends + 1.0)))
+                    codes.append(to.compress(s[a:b].tobytes()))
+        ids = docs["ids"].combine_chunks()
+        learn = np.repeat(docs["learn"].to_numpy(), np.array([len(x) for x in ids], np.int64)) if len(ids) else np.zeros(0, bool)
+        arrays = [ids.flatten(), pa.array(learn, pa.bool_()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(codes, pa.binary())]
         return pa.table(arrays, names=["doc_id", "learn", "n_tokens", "n_known", "log_sum", "codes"])
 
     return code
@@ -422,18 +466,20 @@ def score_documents(docs: DataFrame, may_learn: Column, group_bytes: int = GROUP
     spark = docs.sparkSession
     kind = docs.select("doc_id").schema.simpleString()[7:-1]
     keyed = docs.select("doc_id", F.coalesce(may_learn, F.lit(False)).alias("learn"), "text")
-    packed = save(keyed.mapInArrow(_packed(group_bytes), f"{kind}, learn boolean, grp long, z binary"))
+    id_type = dict(keyed.dtypes)["doc_id"]
+    arrow_type = to_arrow_type(keyed.schema["doc_id"].dataType)
+    packed = save(keyed.mapInArrow(_packed(arrow_type, group_bytes), f"learn boolean, grp long, ids array<{id_type}>, sizes array<long>, z binary"))
     learnt = packed.where("learn")
-    own = save(packed.select("grp", "learn", "z").mapInArrow(_group_words, "grp long, h long, n long"))
+    own = packed.select("grp", "learn", "sizes", "z").mapInArrow(_group_words(), "grp long, h long, n long")
     types = save(own.groupBy("h").agg(F.sum("n").alias("c"), F.count("*").alias("groups")))
-    n_ends = learnt.count()
+    n_ends = learnt.agg(F.sum(F.size("ids"))).first()[0] or 0
     sums = types.where("c > 0").agg(F.count("*"), F.sum("c")).first()
     total, distinct = (sums[1] or 0) + n_ends, sums[0] + int(n_ends > 0)
     top = types.where("c > 0").orderBy(F.desc("c"), "h").select("h", "c").limit(TOP).collect()
     top_h = np.array([r["h"] for r in top], np.int64)
     widespread = types.orderBy(F.desc("groups"), "h").select("h", "c").limit(hot).toPandas()
     hot_h, hot_c = widespread.h.to_numpy(np.int64), widespread.c.to_numpy(np.int64)
-    seen = learnt.select("z").mapInArrow(_top_pairs(top_h), "pair int, n long")
+    seen = learnt.select("sizes", "z").mapInArrow(_top_pairs(top_h), "pair int, n long")
     pairs = _gathered(seen, SYMBOLS)
     cls = exchange(pairs, len(top))
     # the top words' own classes; what is placed shares them
@@ -441,7 +487,7 @@ def score_documents(docs: DataFrame, may_learn: Column, group_bytes: int = GROUP
     others = types.where(~F.col("h").isin([int(h) for h in top_h]))
     if len(top) == TOP:
         prefer = preferences(pairs, cls[:SYMBOLS], len(top))
-        near = learnt.select("grp", "z").mapInArrow(_neighbours(top_h, cls, hot_h, hot_c >= PLACED_FROM), "h long, salt int, near binary")
+        near = learnt.select("grp", "sizes", "z").mapInArrow(_neighbours(top_h, cls, hot_h, hot_c >= PLACED_FROM), "h long, salt int, near binary")
         by_word = near.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_placed(prefer), "h long, k int, sums array<double>")
         parts = save(by_word)  # a row for each word, or SALTS of a hot one
         added = parts.where("k < 0").groupBy("h").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(prefer.shape[1])]).toPandas()
@@ -450,8 +496,9 @@ def score_documents(docs: DataFrame, may_learn: Column, group_bytes: int = GROUP
     else:  # all words are among the top ones
         hot_k, placed, parts = {}, types.select("h", F.lit(0).alias("k")).limit(0), None
     known = (hot_h, hot_c, np.array([hot_k.get(h, -1) for h in hot_h.tolist()], np.int64))
-    held = F.broadcast(spark.createDataFrame(widespread[["h"]], "h long"))  # at most `hot` rows
-    words = own.select("grp", "h").join(held, "h", "left_anti").join(types.select("h", "c").join(placed, "h", "left"), "h")
+    # hot words stay where they are; the others meet their counts
+    cold = packed.select("grp", "learn", "sizes", "z").mapInArrow(_group_words(hot_h), "grp long, h long, n long")
+    words = cold.select("grp", "h").join(types.select("h", "c").join(placed, "h", "left"), "h")
     words = words.select("grp", "h", "c", F.coalesce("k", F.lit(-1)).alias("k"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (TASK_GROUPS * group_bytes)))
@@ -467,7 +514,7 @@ def score_documents(docs: DataFrame, may_learn: Column, group_bytes: int = GROUP
     for r in placed.groupBy("k").count().collect():
         n_types[SYMBOLS + r["k"]] = r["count"]
     np.add.at(n_types, SYMBOLS + np.array(list(hot_k.values()), np.int64), 1)
-    for done in (packed, own, types, *([parts] if parts else [])):
+    for done in (packed, types, *([parts] if parts else [])):
         forget(done)
     sent = spark.sparkContext.broadcast(fit(pairs, n_types, len(top), cls, few.get(2, 0)))
 
