@@ -451,8 +451,8 @@ def fit(pairs: np.ndarray, types: np.ndarray, n_top: int, cls: np.ndarray | None
 def _gathered(pairs: DataFrame, size: int) -> np.ndarray:
     """The counts of rows (pair, n), size ** 2 pairs at most."""
     out = np.zeros(size * size)
-    rows = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out[rows.pair.to_numpy()] = rows.n.to_numpy()
+    rows = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(size, size)
 
 
@@ -477,8 +477,7 @@ def score_documents(docs: DataFrame, may_learn: Column, group_bytes: int = GROUP
     total, distinct = (sums[1] or 0) + n_ends, sums[0] + int(n_ends > 0)
     top = types.where("c > 0").orderBy(F.desc("c"), "h").select("h", "c").limit(TOP).collect()
     top_h = np.array([r["h"] for r in top], np.int64)
-    widespread = types.orderBy(F.desc("groups"), "h").select("h", "c").limit(hot).toPandas()
-    hot_h, hot_c = widespread.h.to_numpy(np.int64), widespread.c.to_numpy(np.int64)
+    hot_h, hot_c = (c.to_numpy() for c in types.orderBy(F.desc("groups"), "h").select("h", "c").limit(hot).toArrow().columns)
     seen = learnt.select("sizes", "z").mapInArrow(_top_pairs(top_h), "pair int, n long")
     pairs = _gathered(seen, SYMBOLS)
     cls = exchange(pairs, len(top))
@@ -490,8 +489,9 @@ def score_documents(docs: DataFrame, may_learn: Column, group_bytes: int = GROUP
         near = learnt.select("grp", "sizes", "z").mapInArrow(_neighbours(top_h, cls, hot_h, hot_c >= PLACED_FROM), "h long, salt int, near binary")
         by_word = near.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_placed(prefer), "h long, k int, sums array<double>")
         parts = save(by_word)  # a row for each word, or SALTS of a hot one
-        added = parts.where("k < 0").groupBy("h").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(prefer.shape[1])]).toPandas()
-        hot_k = dict(zip(added.h.tolist(), _likeliest(added.drop(columns="h").to_numpy()).tolist(), strict=True))
+        added = parts.where("k < 0").groupBy("h").agg(*[F.round(F.sum(F.col("sums")[i]), 6).alias(f"s{i}") for i in range(prefer.shape[1])])
+        best = F.array_max(F.array(*[F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("i")) for i in range(prefer.shape[1])]))
+        hot_k = dict(zip(*(c.to_pylist() for c in added.select("h", (-best["i"]).alias("k")).toArrow().columns), strict=True))
         placed = parts.where("k >= 0").select("h", "k")
     else:  # all words are among the top ones
         hot_k, placed, parts = {}, types.select("h", F.lit(0).alias("k")).limit(0), None
