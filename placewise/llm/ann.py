@@ -3,25 +3,30 @@
 On a bounded sample of the vectors a graph of nearest neighbours is cut into parts of balanced size, and a small
 network learns where a vector's neighbours lie. The number of parts grows with the square root of the number of rows. Every row is indexed under its most probable part; a
 query is sent to its most probable parts until they hold PROBABILITY of the mass (and enough candidates), and is
-ranked there by exact inner products. Parts are dealt into blocks of bounded size for the ranking.
+ranked there by exact inner products. Parts are dealt into blocks of bounded size for the ranking. Beyond MOST_PARTS
+parts each part is cut again in the same way, by a network of its own that is learned from a sample of its rows in a
+task of its own; a small part's probability is then the product of both.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from placewise.llm.common import save, table
+from placewise.llm.common import forget, save, table
 
-#: Least and most parts; there is one for every ROOT units of the square root of the number of rows.
+#: Least parts, and most before each is cut again; there is one for every ROOT units of the square root of the number of rows.
 PARTS, MOST_PARTS, ROOT = 32, 512, 4
-#: The partition is learned from so many vectors for each part, SAMPLE at least (and so 32,768 at most).
+#: The partition is learned from so many vectors for each part, SAMPLE at least (and so 32,768 at most); a part's from as many
+#: for each small part, SAMPLE / 4 at least, about.
 SAMPLE, SAMPLE_PART = 4096, 64
 NEIGHBOURS, SWEEPS, SLACK = 20, 8, 1.1
 UNITS, PASSES, BATCH, RATE = 96, 30, 128, 3e-3
@@ -128,9 +133,62 @@ class Router:
         return net
 
 
-def parts_for(n: int) -> int:
-    """Parts of an index over n rows."""
-    return min(MOST_PARTS, max(PARTS, -(-math.isqrt(n) // ROOT)))
+def parts_for(n: int) -> tuple[int, int]:
+    """Parts of an index over n rows, and small parts of each."""
+    wanted = max(PARTS, -(-math.isqrt(n) // ROOT))
+    first = min(MOST_PARTS, wanted)
+    return first, -(-wanted // first)
+
+
+@dataclass
+class Tree:
+    """A router to parts and, where these are cut again, one for each part."""
+
+    top: Router
+    #: Small parts of a part, 1 if it isn't cut.
+    width: int
+    inner: dict[int, Router]
+
+    def size(self) -> int:
+        return len(self.top.layers[3]) * self.width
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The small part under which each row is indexed: the most probable one of its most probable part."""
+        part = self.top.probabilities(x).argmax(axis=1)
+        out = part * self.width
+        for p in np.unique(part) if self.inner else ():
+            if p in self.inner:
+                out[part == p] += self.inner[p].probabilities(x[part == p]).argmax(axis=1)
+        return out
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """Of every small part; those of parts that hold next to nothing of the mass share it evenly."""
+        p = self.top.probabilities(x)
+        if not self.inner:
+            return np.repeat(p / self.width, self.width, axis=1) if self.width > 1 else p
+        out = np.repeat(p / self.width, self.width, axis=1)
+        order = np.argsort(-p, axis=1, kind="stable")
+        mass = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
+        telling = np.zeros(p.shape, bool)
+        np.put_along_axis(telling, order, np.concatenate((np.zeros((len(p), 1)), mass[:, :-1]), axis=1) < PROBABILITY, axis=1)
+        for part, net in self.inner.items():
+            rows = np.flatnonzero(telling[:, part])
+            if len(rows):
+                q = net.probabilities(x[rows])
+                out[rows, part * self.width : (part + 1) * self.width] = 0
+                out[rows[:, None], part * self.width + np.arange(q.shape[1])[None, :]] = p[rows, part][:, None] * q
+        return out
+
+
+def _cut_again(width: int):
+    """For a sample of one part's rows: the layers of its own router."""
+
+    def train(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("vec_id", "ascending")]))
+        net = learn(_matrix(rows["vector"].combine_chunks()), width)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "net": pa.array([pickle.dumps([w.astype(np.float32) for w in net.layers])], pa.binary())})
+
+    return train
 
 
 def draw(rows: DataFrame, n: int, size: int) -> DataFrame:
@@ -184,14 +242,14 @@ def _ranked(k: int):
     return rank
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, parts: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, parts: int | tuple[int, int] | None = None) -> DataFrame:
     """The k nearest rows found for each query: query_id, rank, vec_id, score (inner product, in double).
 
     rows and queries: columns vec_id, vector. A vector that is null, zero or has null or non-finite components
     takes no part, nor one of another length than most, nor one without id. A query doesn't find rows of its own
     id; queries that repeat an id count once (with the least vector). Ties go to the smaller vec_id. With fewer
     than k candidates all are returned; an empty table gives an empty result. parts: None for as many as the number
-    of rows asks for.
+    of rows asks for; a pair for parts and small parts of each.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector")).where(usable(F.col("vector")) & F.col("vec_id").isNotNull())
@@ -199,52 +257,65 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, parts: int | None
     usual = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     d = usual["d"] if usual else 0
     rows, queries = rows.where(F.size("vector") == d), queries.where(F.size("vector") == d)
-    parts = parts or parts_for(usual["count"] if usual else 0)
-    size = max(SAMPLE, SAMPLE_PART * parts)
-    drawn = draw(rows, usual["count"] if usual else 0, size).toPandas()
+    n = usual["count"] if usual else 0
+    first, small = parts_for(n) if parts is None else parts if isinstance(parts, tuple) else (parts, 1)
+    size = max(SAMPLE, SAMPLE_PART * first)
+    drawn = draw(rows, n, size).toPandas()
     if usual and not len(drawn):  # few ids, often repeated, all beyond the bound
         drawn = draw(rows, size, size).toPandas()
     if not len(drawn):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router = learn(np.array(drawn.vector.tolist(), np.float64), parts)
-    sent = spark.sparkContext.broadcast(router)  # of fixed size
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best = sent.value.probabilities(_matrix(batch.column(1))).argmax(axis=1) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32)), *batch.columns], ["part", "vec_id", "vector"])
-
-    indexed = save(rows.mapInArrow(index, "part int, vec_id long, vector array<double>"))
-    held = np.zeros(len(router.layers[3]), np.int64)
-    for r in indexed.groupBy("part").count().collect():  # a row for each part
-        held[r["part"]] = r["count"]
+    tree = Tree(learn(np.array(drawn.vector.tolist(), np.float64), first), 1, {})
+
+    def index(tree: Tree):
+        sent = spark.sparkContext.broadcast(tree)  # its size doesn't grow with the rows, but with their square root
+
+        def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                best = sent.value.own(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32)), *batch.columns], ["part", "vec_id", "vector"])
+
+        made = save(rows.mapInArrow(indexed, "part int, vec_id long, vector array<double>"))
+        held = np.zeros(tree.size(), np.int64)
+        for r in made.groupBy("part").count().collect():  # a row for each part
+            held[r["part"]] = r["count"]
+        return sent, made, held
+
+    sent, indexed, held = index(tree)
+    if small > 1:
+        each = max(SAMPLE // 4, SAMPLE_PART * small)
+        bound = F.array(*[F.lit(min(2**64 - 1, 2 * each * 2**64 // max(1, h)) - 2**63) for h in held.tolist()])
+        sample = indexed.where(F.xxhash64("vec_id", F.lit(7)) <= F.element_at(bound, F.col("part") + 1))
+        nets = sample.groupBy("part").applyInArrow(_cut_again(small), "part int, net binary").collect()  # a row for each part
+        coarse, tree = indexed, Tree(tree.top, small, {r["part"]: Router(pickle.loads(r["net"])) for r in nets})
+        sent, indexed, held = index(tree)
+        forget(coarse)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            p = sent.value.probabilities(_matrix(batch.column(1)))
-            order = np.argsort(-p, axis=1, kind="stable")
-            mass = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
-            there = np.cumsum(held[order], axis=1)
-            before = lambda x: np.concatenate((np.zeros((len(x), 1)), x[:, :-1]), axis=1)
-            wanted = (before(mass) < PROBABILITY) | (before(there) < k + 1) | (np.arange(p.shape[1]) < LEAST_PARTS)[None, :]
-            wanted &= held[order] > 0
-            chosen = [order[i, wanted[i]].astype(np.int32) for i in range(len(p))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.list_(pa.int32()))], ["query_id", "vector", "parts"])
+        before = lambda x: np.concatenate((np.zeros((len(x), 1)), x[:, :-1]), axis=1)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                p = sent.value.probabilities(_matrix(batch.column(1)))
+                order = np.argsort(-p, axis=1, kind="stable")
+                mass = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
+                there = np.cumsum(held[order], axis=1)
+                wanted = (before(mass) < PROBABILITY) | (before(there) < k + 1) | (np.arange(p.shape[1]) < LEAST_PARTS)[None, :]
+                wanted &= held[order] > 0
+                chosen = [order[j, wanted[j]].astype(np.int32) for j in range(len(p))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.list_(pa.int32()))], ["query_id", "vector", "parts"])
 
     once = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     routed = save(once.mapInArrow(route, "query_id long, vector array<double>, parts array<int>"))
     asked = np.zeros(len(held), np.int64)
     for r in routed.select(F.explode("parts").alias("part")).groupBy("part").count().collect():
         asked[r["part"]] = r["count"]
-    c_blocks = F.array(*[F.lit(int(max(1, -(-n // CANDIDATES)))) for n in held])
-    q_blocks = F.array(*[F.lit(int(max(1, -(-n // QUERIES)))) for n in asked])
-    of = lambda blocks: F.element_at(blocks, F.col("part") + 1)
-    left = routed.select("query_id", "vector", F.explode("parts").alias("part")).withColumn("qb", F.pmod(F.xxhash64("query_id"), of(q_blocks)).cast("int"))
-    left = left.withColumn("cb", F.explode(F.sequence(F.lit(0), of(c_blocks) - 1)))
-    right = indexed.withColumn("cb", F.pmod(F.xxhash64("vec_id", F.lit(1)), of(c_blocks)).cast("int"))
-    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), of(q_blocks) - 1)))
+    rows_of = [(i, int(max(1, -(-h // CANDIDATES))), int(max(1, -(-q // QUERIES)))) for i, (h, q) in enumerate(zip(held, asked, strict=True))]
+    blocks = F.broadcast(spark.createDataFrame(rows_of, "part int, cs int, qs int"))  # a row for each part
+    left = routed.select("query_id", "vector", F.explode("parts").alias("part")).join(blocks, "part").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int"))
+    left = left.withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("cs") - 1))).drop("cs", "qs")
+    right = indexed.join(blocks, "part").withColumn("cb", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("cs")).cast("int"))
+    right = right.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).drop("cs", "qs")
     found = left.groupBy("part", "qb", "cb").cogroup(right.groupBy("part", "qb", "cb")).applyInArrow(_ranked(k), "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -49,8 +49,9 @@ def test_balanced_parts():
 
 def test_parts_grow_with_rows():
     sizes = [0, 1, 2_000, 16_000, 51_282, 1_000_000, 10**8, 10**12]
-    parts = [ann.parts_for(n) for n in sizes]
-    assert parts == sorted(parts) and parts[0] == ann.PARTS and parts[4] == 57 and parts[-1] == ann.MOST_PARTS
+    parts = [first * small for first, small in map(ann.parts_for, sizes)]
+    assert parts == sorted(parts) and parts[0] == ann.PARTS and parts[4] == 57 and ann.parts_for(4_000_000) == (500, 1)
+    assert ann.parts_for(10**8) == (512, 5) and parts[-1] >= 10**6 / ann.ROOT
 
 
 def test_draw_is_the_least_hashes(spark):
@@ -68,8 +69,18 @@ def test_few_ids_often_repeated(spark):
 
 def test_many_parts_find_the_neighbours(spark):
     rows = spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
-    few, many = ({(r.query_id, r.vec_id) for r in ann.nearest(rows, rows.where("vec_id % 20 = 0"), parts=p).collect()} for p in (1, 60))
-    assert len(few) == len(many) and len(few & many) >= 0.9 * len(few)
+    few, many, twice = ({(r.query_id, r.vec_id) for r in ann.nearest(rows, rows.where("vec_id % 20 = 0"), parts=p).collect()} for p in (1, 60, (6, 8)))
+    assert len(few) == len(many) == len(twice) and len(few & many) >= 0.9 * len(few) and len(few & twice) >= 0.9 * len(few)
+
+
+def test_tree_probabilities_sum_to_one():
+    r = np.random.default_rng(2)
+    net = lambda p: ann.Router([r.standard_normal((8, ann.UNITS)), np.zeros(ann.UNITS), r.standard_normal((ann.UNITS, p)), np.zeros(p)])
+    tree, x = ann.Tree(net(5), 4, {0: net(4), 2: net(3), 3: net(4)}), r.standard_normal((50, 8))
+    p = tree.probabilities(x)
+    assert p.shape == (50, 20) and p.sum(axis=1) == pytest.approx(np.ones(50))
+    own = tree.own(x)
+    assert (own // 4 == tree.top.probabilities(x).argmax(axis=1)).all() and own.max() < 20
 
 
 def test_url_filter_equals_sql(spark):
