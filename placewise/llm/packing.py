@@ -5,7 +5,7 @@ the longest piece that still fits; if a gap remains, its smallest piece is repla
 that fill the widened gap most tightly. A filling is repeated for as long as the histogram holds its pieces,
 which is what packing bin after bin would do, so the plan has a size bounded by CAPACITY, not by the corpus. Each
 piece then finds its place from its length and its rank among pieces of that length; ranks of frequent lengths
-are counted in salted parts.
+are counted in parts, to which pieces are dealt by their numbers, copies and pieces without id too.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,6 +136,7 @@ def word_ids(path: str) -> WordIds:
 def _pieces(path: str, capacity: int, words_kept: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = word_ids(path), np.array([END_ID], "<u4").tobytes()
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
@@ -146,7 +148,9 @@ def _pieces(path: str, capacity: int, words_kept: int):
                         doc.append(k)
                         out.append((p, a // 4, len(own) // 4, zlib.crc32(own)))
                 columns = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                rows = pa.array(number + np.arange(len(doc)))
+                number += len(doc)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], rows], ["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
     return cut
 
@@ -248,18 +252,18 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, words_kept: int =
     """
     spark = docs.sparkSession
     kind = docs.select("doc_id").schema.simpleString()[7:-1]
-    pieces = save(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, words_kept), f"{kind}, piece int, start long, length long, ids_crc32 long"))
+    pieces = save(docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity, words_kept), f"{kind}, piece int, start long, length long, ids_crc32 long, row long"))
     rows = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     count = np.zeros(capacity + 1, np.int64)
     for r in rows:
         count[r["length"]] = r["count"]
     sent = spark.sparkContext.broadcast(Places.of(fill(count, capacity)))
     parts = F.broadcast(spark.createDataFrame([(int(r["length"]), -(-r["count"] // PART)) for r in rows], "length long, _parts long"))
-    salted = pieces.join(parts, "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_parts")))
+    salted = pieces.join(parts, "length").withColumn("_part", F.pmod(F.xxhash64("row"), F.col("_parts")))
     before = salted.groupBy("length", "_part").agg(F.count("*").alias("_n"))
     before = before.select("length", "_part", (F.sum("_n").over(Window.partitionBy("length").orderBy("_part")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("_within", within).join(before, ["length", "_part"]).select(*pieces.columns, (F.col("_before") + F.col("_within")).alias("_rank"))
+    within = F.row_number().over(Window.partitionBy("length", "_part").orderBy("row")) - 1
+    ranked = salted.withColumn("_within", within).join(before, ["length", "_part"]).select(*pieces.columns[:-1], (F.col("_before") + F.col("_within")).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
