@@ -24,8 +24,8 @@ WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2
 BINS = 4096
 #: Newton stops where every source's expected words are this near their target, as a share of it.
 TOLERANCE, MOST_STEPS = 1e-9, 60
-#: Per-source tables of up to so many rows are broadcast (under 64 MB); larger ones are joined by a shuffle.
-BROADCAST_SOURCES = 200_000
+#: Per-source tables of up to so many bytes are broadcast (ROW_BYTES a row and the source's name); larger ones are joined by a shuffle.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 256
 
 
 def n_words(text: Column) -> Column:
@@ -37,8 +37,8 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), "z").otherwise(F.concat(F.lit("s"), source))
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_SOURCES else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -65,26 +65,26 @@ def _rate(lam: Column, size: Column, scale: Column, cap: float) -> Column:
 
 
 def balance(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> tuple[DataFrame, int]:
-    """From rows (key, doc_id, size): a row for each source with source_size, target, lam, scale, full and shift; and the number of sources."""
+    """From rows (key, doc_id, size): a row for each source with source_size, target, lam, scale, full and shift; and the bytes of a table of the sources."""
     hist = save(sizes.groupBy("key", "size").agg(F.count("*").alias("n")))
     totals = hist.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.col("size").cast("double") * F.col("size") * F.col("n")).alias("_squares"))
     scale = totals.select("key", F.when(F.col("source_size") > 0, F.round(F.col("_squares") / F.col("source_size"), 6)).otherwise(F.lit(0.0)).alias("scale"))
     state = source_targets(totals.select("key", "source_size"), weights, share, cap).join(scale, "key")
     full = (F.col("source_size") == 0) | (F.col("target") >= F.col("source_size") * F.lit(float(cap)) * F.lit(1 - 1e-9))
     state = save(state.withColumns({"full": full, "lam": F.lit(0.0), "lo": F.lit(-math.inf), "hi": F.lit(math.inf), "error": F.when(full, 0.0).otherwise(1.0)}))
-    count = state.count()
+    size = state.agg(F.sum(F.octet_length("key") + ROW_BYTES)).first()[0] or 0
     for _ in range(MOST_STEPS):
         if not state.agg(F.max("error")).first()[0] or state.where(F.col("error") > TOLERANCE).isEmpty():
             break
         rate = _rate(F.col("lam"), F.col("size"), F.col("scale"), cap)
         words = F.col("n") * F.col("size") * rate
         sums = (
-            hist.join(_small(state.where(F.col("error") > TOLERANCE).select("key", "lam", "scale"), count), "key")
+            hist.join(_small(state.where(F.col("error") > TOLERANCE).select("key", "lam", "scale"), size), "key")
             .groupBy("key").agg(F.sum(words).alias("_f"), F.sum(F.when(rate < cap, words * F.col("size") / F.col("scale")).otherwise(0.0)).alias("_slope"))
         )
         gap = F.col("_f") - F.col("target")
         stepped = (
-            state.join(_small(sums, count), "key", "left")
+            state.join(_small(sums, size), "key", "left")
             .withColumn("_busy", F.col("_f").isNotNull())
             .withColumns({"lo": F.when(F.col("_busy") & (gap <= 0), F.col("lam")).otherwise(F.col("lo")), "hi": F.when(F.col("_busy") & (gap > 0), F.col("lam")).otherwise(F.col("hi"))})
             .withColumn("error", F.when(F.col("_busy"), F.abs(gap) / F.col("target")).otherwise(F.col("error")))
@@ -99,19 +99,19 @@ def balance(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     forget(hist)
     params = state.select("key", "source_size", "target", F.round("lam", 9).alias("lam"), "scale", "full")
     # where the shift is: words gained up to each bin, once for first copies and once for each later one
-    first = sizes.join(_small(params, count), "key").groupBy("key", _bin(cap).alias("bin")).agg(F.sum("size").alias("w"))
+    first = sizes.join(_small(params, size), "key").groupBy("key", _bin(cap).alias("bin")).agg(F.sum("size").alias("w"))
     points = first.select("key", F.explode(F.array(*[F.struct((F.col("bin") + F.lit(i * BINS)).alias("bin"), F.col("w").alias("w")) for i in range(cap)])).alias("p")).groupBy("key", "p.bin").agg(F.sum("p.w").alias("w"))
     reached = F.sum("w").over(Window.partitionBy("key").orderBy("bin"))
     # "none taken" is a choice too: a shift before the first point
     none = params.select("key", F.lit(-(1 << 40)).alias("bin"), F.lit(0).cast("long").alias("w"))
     choice = (
-        points.select("key", F.col("bin").cast("long").alias("bin"), "w").unionByName(none).withColumn("_sum", reached).join(_small(params.select("key", "target"), count), "key")
+        points.select("key", F.col("bin").cast("long").alias("bin"), "w").unionByName(none).withColumn("_sum", reached).join(_small(params.select("key", "target"), size), "key")
         .groupBy("key").agg(F.min(F.struct(F.abs(F.col("_sum") - F.col("target")).alias("off"), F.col("bin").alias("bin"))).alias("best"))
         .select("key", F.col("best.bin").alias("shift"))
     )
-    done = save(params.join(_small(choice, count), "key"))
+    done = save(params.join(_small(choice, size), "key"))
     forget(state)
-    return done, count
+    return done, size
 
 
 def _bin(cap: int) -> Column:
@@ -133,8 +133,8 @@ def mix_counts(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     matter.
     """
     sizes = save(docs.select(_key(F.col("source")).alias("key"), "doc_id", n_words(F.col("text")).alias("size")))
-    params, count = balance(sizes, weights, share, cap)
-    return sizes.join(_small(params, count), "key").select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(cap)).alias("taken"))
+    params, size = balance(sizes, weights, share, cap)
+    return sizes.join(_small(params, size), "key").select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(cap)).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -142,8 +142,8 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     columns = docs.columns
     keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias("_doc"), docs["doc_id"].alias("doc_id"), _key(docs["source"]).alias("key"), n_words(docs["text"]).alias("size"))
     sizes = save(keyed.select("key", "doc_id", "size"))
-    params, count = balance(sizes, weights, share, cap)
-    taken = keyed.join(_small(params, count), "key").withColumn("_n", F.when(F.col("size") > 0, _copies(cap)).otherwise(0).cast("int")).where("_n > 0")
+    params, size = balance(sizes, weights, share, cap)
+    taken = keyed.join(_small(params, size), "key").withColumn("_n", F.when(F.col("size") > 0, _copies(cap)).otherwise(0).cast("int")).where("_n > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_doc.*")
 
 
