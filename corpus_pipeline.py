@@ -64,13 +64,14 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = fresh("_doc", ["doc_id", "text", "n"])
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(row), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
     again = save(ids.select(F.col("doc_id").cast("long").alias("again"), F.lit(True).alias("n")))
-    if not again.isEmpty():
+    repeated = not again.isEmpty()
+    if repeated:
         hashed = F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("doc_id", F.lit(0)), "text"), 2) + F.lit(NAMED_FROM)
         named = F.when(F.col("n"), hashed).otherwise(F.col("doc_id"))
         held = save(held.join(again, F.col("doc_id").eqNullSafe(F.col("again")), "left").select(row, named.alias("doc_id"), "text"))
     gone = dedup.near_duplicates(held.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
     kept = held.join(gone, "doc_id", "left_anti")
-    if not again.isEmpty():  # rows alike in id and text have one name, and so one of them stays
+    if repeated:  # rows alike in id and text have one name, and so one of them stays
         kept = kept.groupBy("doc_id").agg(F.first(row).alias(row))
     return kept.select(f"{row}.*")
 

@@ -1,4 +1,4 @@
-"""Further registered queries: the catalog's tables and layers, a table of boxes, streams, and large point groups."""
+"""Further registered queries: the catalog's tables and layers, raw sources, a table of boxes, streams, large point groups, errors."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from placewise.functions import geometry as geo
 from placewise.functions.codes import fips_table, state_to_fips
 from placewise.operators import boxes, neighbors, polylines
-from placewise.operators.bbox import extent
+from placewise.operators.bbox import bbox_of, extent
+from placewise.plans.mapspec import region_spec
 from placewise.plans.queries import _FIPS, _LINES, _SPARK, _SQL, _boxes, _geo, _lines, _query, as_places, geo_customer, read
-from placewise.sources import catalog
+from placewise.sources import catalog, raw
 from placewise.sources.schemas import LAYERS, TABLES
 from placewise.sources.scratch import scratch_dir
 from placewise.streaming import points as streaming
@@ -191,3 +192,55 @@ def stream_extent(spark, d):
     out = streaming.windowed_extent(points, "ts", "1 hour", "10 minutes")
     out = out.select(F.col("window.start").alias("hour"), "raw_xmin", "raw_xmax", "raw_ymin", "raw_ymax")
     return _run(out, scratch_dir(spark)).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+# ---- raw sources: text files are written, read by the adapters and assembled
+
+
+def _text_files(df: DataFrame, where: str, name: str, sep: str) -> str:
+    df.write.csv(f"{where}/{name}", sep=sep, header=True)
+    return f"{where}/{name}"
+
+
+@_query(f"WITH {_geo()} SELECT id, NAME, LAT, LON, ALAND, AWATER, POP, CASE WHEN nation < 20 THEN nation END AS CBSA, LON BETWEEN -125 AND -65 AND LAT BETWEEN 24 AND 50 AS ISCUS FROM geo")
+def raw_assemble(spark, d):
+    places, where = geo_customer(spark, d), scratch_dir(spark)
+    areas = raw.read_gazetteer(spark, _text_files(places.select("id", "NAME", "LAT", "LON", "ALAND", "AWATER"), where, "areas", "\t"), "id bigint, NAME string, LAT double, LON double, ALAND double, AWATER double")
+    people = raw.read_population_centres(spark, _text_files(places.select("id", "POP"), where, "people", ","), "id bigint, POP bigint")
+    members = raw.read_delineation(spark, _text_files(places.where("nation < 20").select("id", "nation"), where, "members", ","), "id bigint, CBSA int")
+    return raw.assemble(areas, people, ["id"], members, flag=True)
+
+
+@_query("""WITH p AS (SELECT n_nationkey AS n, k.range AS k FROM nation, LATERAL (SELECT range FROM range(CASE WHEN n_nationkey % 4 = 2 THEN 2 ELSE 1 END)) k),
+numbered AS (SELECT *, row_number() OVER (ORDER BY n, k) - 1 AS part FROM p)
+SELECT 'countries' AS layer, CAST(part AS INT) AS part_id, CAST(seq AS INT) AS seq, CAST(n + k + 2 * seq AS DOUBLE) AS lon, CAST(n + 1 + seq * (2 + k) AS DOUBLE) AS lat FROM numbered, (VALUES (0), (1)) t(seq)""")
+def raw_geojson(spark, d):
+    """Lines of every geometry kind; a nation's line goes from (n + k, n + 1) to (n + k + 2, n + 3 + k)."""
+    n, line = F.col("n_nationkey"), "[[%s, %s], [%s, %s]]"
+    at = lambda k: F.format_string(line, n + k, n + 1, n + k + 2, n + 3 + k)
+    kind = F.element_at(F.array(*map(F.lit, ("LineString", "Polygon", "MultiLineString", "MultiPolygon"))), n % 4 + 1)
+    coordinates = F.when(n % 4 == 0, at(0)).when(n % 4 == 1, F.format_string("[%s]", at(0))).when(n % 4 == 2, F.format_string("[%s, %s]", at(0), at(1))).otherwise(F.format_string("[[%s]]", at(0)))
+    feature = F.format_string('{"type": "Feature", "properties": {}, "geometry": {"type": "%s", "coordinates": %s}}', kind, coordinates)
+    every = read(spark, d, "nation").agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), feature.alias("f")))).alias("all"))
+    text = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.transform("all", lambda x: x["f"]), ",\n"), F.lit("]}"))
+    where = f"{scratch_dir(spark)}/lines"
+    every.select(text.alias("value")).write.text(where)
+    return raw.read_geojson_lines(spark, where, "countries")
+
+
+@_query("SELECT * FROM (VALUES ('layer', 'ValueError'), ('point', 'ValueError'), ('region', 'ValueError'), ('state', 'ValueError'), ('table', 'ValueError'), ('write', 'ValueError'), ('boxes', 'ValueError')) t(what, error)")
+def errors(spark, d):
+    """What is refused, and how."""
+    places = geo_customer(spark, d)
+    tried = {
+        "table": lambda: catalog.table(spark, "nothing", d), "layer": lambda: catalog.table(spark, "rivers", d), "write": lambda: catalog.write_table(places, "uscsa", scratch_dir(spark)),
+        "state": lambda: state_to_fips("XX"), "region": lambda: region_spec(spark, "Mars"),
+        "point": lambda: geo.point_in_bbox([1.0], limits=geo.US_LIMITS), "boxes": lambda: bbox_of([1.0], [1.0, 2.0]),
+    }
+    rows = []
+    for what, call in tried.items():
+        try:
+            call()
+        except Exception as e:  # what kind of error it is, is the answer
+            rows.append((what, type(e).__name__))
+    return spark.createDataFrame(rows, "what string, error string")
