@@ -214,14 +214,13 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["row", "host", "page_id", "url", "template", "kind", "once", "mains", "blocks"])
 
 
-def templates(full: DataFrame) -> DataFrame:
+def templates(full: DataFrame, total: int) -> DataFrame:
     """key, pages, slot, told, fixed of every template: its main slot's token, whether that is an article or main element, and
     the hashes of (token, text) of its own text at skeleton tokens.
 
-    full: the parsed pages that have blocks. Everything is summed by (template, token) or (template, token, text) and
+    full: the parsed pages that have blocks, total of them. Everything is summed by (template, token) or (template, token, text) and
     combined before it is shuffled; what is listed for a template is no more than a page holds.
     """
-    total = full.count()
     pages = save(full.groupBy("key", "kind").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("pages"), F.count("*").alias("kinds")))
     # the class of tokens whose vector is one on every page; valid are those that have the same place in it on every page
     once = full.select("key", F.explode("once").alias("token")).groupBy("key", "token").agg(F.count("*").alias("n"))
@@ -273,7 +272,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     parsed = pages.select(host.alias("host"), "page_id", "url", "html").mapInArrow(_parsed, schema)
     parsed = save(parsed.withColumn("key", F.xxhash64("host", "template")).drop("host", "template"))
     full = parsed.where(F.size("blocks") > 0)
-    found = join_hot(full.select("key", "row", "page_id", "url", "blocks"), templates(full), "key", ["slot", "told", "fixed"], F.col("pages"), full.count(), "row")
+    total = full.count()
+    found = join_hot(full.select("key", "row", "page_id", "url", "blocks"), templates(full, total), "key", ["slot", "told", "fixed"], F.col("pages"), total, "row")
     inside = F.filter("blocks", lambda b: F.array_contains(b["chain"], F.col("slot")))
     found = found.select("page_id", "url", "told", "fixed", inside.alias("blocks"))
     # the template's text before and after what differs; repeated parts, and what stands in between, are the page's
