@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm.common import forget, join_hot, save, table
+from placewise.llm.common import BASE, forget, join_hot, mix, save, table, utf8, word_bounds, word_hashes
 from placewise.llm.url_filter import url_parts
 
 #: Share of the differing text that a skeleton's article or main element holds where it is the main slot.
@@ -163,10 +163,23 @@ class Page:
             element = self.elements[element][1]
 
 
-def kind(page: Page) -> int:
-    """Equal for copies: the least hash of the runs of three words of the page's blocks. Near copies mostly share it."""
-    words = [w for _, t in page.blocks for w in t.split()]
-    return min((_hash(" ".join(words[i : i + RUN])) for i in range(max(1, len(words) - RUN + 1))), default=0)
+_FACTORS = mix(np.arange(1, RUN + 1, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+
+
+def kinds(pages: list[Page]) -> list[int]:
+    """For each page the least hash of the runs of RUN words of its blocks (of all its words, if it has fewer; 0 without):
+    equal for copies, and near copies mostly share it."""
+    data, bounds = utf8(pa.array(["\n".join(t for _, t in p.blocks) for p in pages], pa.large_string()))
+    starts, ends, counts = word_bounds(data, bounds)
+    words, out = word_hashes(data, starts, ends), []
+    n = max(0, len(words) - RUN + 1)
+    runs = mix(sum((words[k : k + n] * _FACTORS[k] for k in range(RUN)), np.zeros(n, np.uint64))).view(np.int64)
+    for first, c in zip((np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True):
+        if c >= RUN:
+            out.append(int(runs[first : first + c - RUN + 1].min()))
+        else:
+            out.append(int(mix((words[first : first + c] * _FACTORS[:c]).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0]) if c else 0)
+    return out
 
 
 def _hash(text: str) -> int:
@@ -207,7 +220,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends.append(len(texts))
             blocks = pa.StructArray.from_arrays([_lists(chains), pa.array(texts, pa.string())], ["chain", "text"])
             columns = [
-                pa.array(number + np.arange(len(pages))), *part.columns[:3], pa.array(templates, pa.int64()), pa.array([kind(p) for p in pages], pa.int64()),
+                pa.array(number + np.arange(len(pages))), *part.columns[:3], pa.array(templates, pa.int64()), pa.array(kinds(pages), pa.int64()),
                 _lists(once), _lists(mains), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), blocks),
             ]
             number += len(pages)

@@ -23,7 +23,7 @@ def skeleton(pages):
 
 
 def template_texts(pages):
-    kinds = [html.kind(p) for p in pages]
+    kinds = [html.kinds([p])[0] for p in pages]
     holders = defaultdict(set)
     for p, k in zip(pages, kinds, strict=True):
         for e, text in p.blocks:
